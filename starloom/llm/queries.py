@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from starloom.llm import chat_format, exact_dedup, url_filter
-from starloom.session import read_table
+from starloom.llm import chat_format, exact_dedup, packing, token_codes, url_filter
+from starloom.session import read_table, scratch_path
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
@@ -24,6 +25,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-codes")
+    token_codes.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_codes.read(spark, path)
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES.items())
 
@@ -86,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_token_codes": op8_token_codes,
 }
 
 SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op4_exact_dedup": _EXACT_SQL}
