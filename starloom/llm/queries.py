@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat_format, exact_dedup, minhash, packing, substring_dedup, token_codes, url_filter
+from starloom.llm import chat_format, exact_dedup, minhash, packing, piece_codec, substring_dedup, token_codes, url_filter
 from starloom.session import read_table, scratch_path
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -45,6 +45,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def _url_sql() -> str:
     rules = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in URL_RULES.items())
 
@@ -111,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_token_codes": op8_token_codes,
     "op9_minhash": op9_minhash,
+    "op10_piece_codec": op10_piece_codec,
 }
 
 SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op4_exact_dedup": _EXACT_SQL}
