@@ -1,22 +1,54 @@
-"""A corpus pipeline over ``documents``: STAGES in order, each a function (spark, docs, sf_dir)."""
+"""A corpus pipeline over ``documents``: STAGES in order, each a function (spark, docs, sf_dir).
+
+All stages but the last return the columns of documents: language ID drops texts
+without a language, exact dedup keeps one row of equal texts, MinHash near-dedup one
+document of each component (five-word shingles, similarity 0.8), substring dedup
+removes words in repeated windows of 35 words from the texts it finds them in, and
+packing returns the pieces of token sequences with their places.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from starloom.llm import exact_dedup
+from starloom.llm import exact_dedup, language_id, minhash, packing, substring_dedup
 from starloom.session import read_table, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact dedup", exact_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = minhash.near_duplicates(docs, width=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(docs, window=35)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language ID", identified),
+    ("exact dedup", without_copies),
+    ("MinHash near-dedup", without_near_copies),
+    ("substring dedup", without_repeated_passages),
+    ("best-fit packing", packed),
+]
 
 #: Language ID and packing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat_format, exact_dedup, minhash, packing, piece_codec, substring_dedup, token_codes, url_filter
+from starloom.llm import chat_format, exact_dedup, language_id, minhash, packing, piece_codec, substring_dedup, token_codes, url_filter
 from starloom.session import read_table, scratch_path
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -35,6 +35,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-codes")
     token_codes.write(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_language_id": op7_language_id,
     "op8_token_codes": op8_token_codes,
     "op9_minhash": op9_minhash,
     "op10_piece_codec": op10_piece_codec,

@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm._words import Rolling, Words, mix, split_words
@@ -64,11 +64,14 @@ def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return repeated, order[new]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+_NO_ID = -(1 << 63)
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     """``id``, ``k`` and ``text``, none null: id and k tell texts apart, also those of one id."""
     text = F.coalesce(docs[text_col], F.lit(""))
     number = docs[id_col].cast("long")
-    return docs.select(F.coalesce(number, F.lit(-(1 << 63))).alias("id"), F.xxhash64(number, text, number.isNull()).alias("k"), text.alias("text"))
+    return [F.coalesce(number, F.lit(_NO_ID)).alias("id"), F.xxhash64(number, text, number.isNull()).alias("k"), text.alias("text")]
 
 
 #: What ``flags`` holds besides four times the place.
@@ -125,7 +128,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"the window must hold at least {PERIOD} words")
-    texts = _keyed(docs, id_col, text_col)
+    texts = docs.select(*_keys(docs, id_col, text_col))
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -156,8 +159,8 @@ def repeated_windows(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     return texts, _repeated(candidates.mapInArrow(windows, _PLACES[2]))
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_text``: kept words joined by one space, one row for each input row."""
+def _cut(docs: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, k, n_words, n_removed, kept_text`` of the keyed texts."""
     texts, found = repeated_windows(docs, window, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -166,11 +169,29 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             gone = _marked(words, batch.column(3), 0, window - 1) > 0
             n = np.diff(words.first)
             lost = np.bincount(words.doc_of()[gone], minlength=len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["doc_id", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["id", "k", "n_words", "n_removed", "kept_text"])
 
     rows = texts.join(found, ["id", "k"], "left").select("id", "k", "text", "places")
-    out = rows.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return rows.mapInArrow(cut, "id long, k long, n_words long, n_removed long, kept_text string")
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_text``: kept words joined by one space, one row for each input row."""
+    number = F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id")
+    return _cut(docs, window, id_col, text_col).select(number, "n_words", "n_removed", "kept_text")
+
+
+def without_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with all their columns; texts that lose words are replaced by
+    what they keep (and ``length_col``, if there is one, by its length), others stay as they are."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_keys(docs, id_col, text_col)[:2])
+    changed = _cut(docs, window, id_col, text_col).filter("n_removed > 0").select("id", "k", "kept_text").dropDuplicates(["id", "k"])
+    joined = rows.join(changed, ["id", "k"], "left")
+    lost = F.col("kept_text").isNotNull()
+    new = {text_col: F.when(lost, F.col("kept_text")).otherwise(F.col(f"row.`{text_col}`"))}
+    if length_col in docs.columns:
+        new[length_col] = F.when(lost, F.length("kept_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
+    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def join_words(words: Words, kept: np.ndarray) -> pa.Array:
