@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm import chat_format, exact_dedup, language_id, minhash, packing, piece_codec, substring_dedup, token_codes, url_filter
+from starloom.llm import bm25, chat_format, exact_dedup, language_id, minhash, packing, piece_codec, substring_dedup, token_codes, url_filter
 from starloom.session import read_table, scratch_path
 
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -31,6 +31,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.filter(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return bm25.search(docs, queries, k=10)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -106,6 +112,22 @@ select s.conv_id, s.n as n_turns, not s.snapshot and s.first_one as kept,
        case when not s.snapshot and s.first_one then t.rendered end as rendered
 from said s join texts t on s.conv_id is not distinct from t.conv_id"""
 
+_BM25_SQL = f"""
+with bag as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')) as term
+  from documents),
+tf as (select doc_id, term, count(*) as tf from bag group by all),
+dl as (select d.doc_id, coalesce(s.n, 0) as dl from documents d left join (select doc_id, sum(tf) as n from tf group by 1) s using (doc_id)),
+whole as (select count(*) as n, avg(dl) as mean_dl from dl),
+df as (select term, count(*) as df from tf group by term),
+hits as (
+  select q.doc_id as query_id, t.doc_id,
+         round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * t.tf * {bm25.K1 + 1} / (t.tf + {bm25.K1} * (1 - {bm25.B} + {bm25.B} * dl / mean_dl))), 6) as score
+  from tf q join df using (term) join tf t using (term) join dl on dl.doc_id = t.doc_id, whole
+  where q.doc_id % 20 = 0 group by all)
+select query_id, row_number() over (partition by query_id order by score desc, doc_id) as rank, doc_id, score
+from hits qualify rank <= 10"""
+
 _EXACT_SQL = """
 with d as (select doc_id, coalesce(text, '') as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
@@ -117,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_bm25_search": op5_bm25_search,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_token_codes": op8_token_codes,
@@ -124,4 +147,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": op10_piece_codec,
 }
 
-SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op4_exact_dedup": _EXACT_SQL}
+SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op5_bm25_search": _BM25_SQL, "op4_exact_dedup": _EXACT_SQL}
