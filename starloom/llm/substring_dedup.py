@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
         for batch in steps(batches, 1):
             words = split_words(batch.column(1))
             at, doc = _lines(words, window)
-            holds = _marked(words, batch.column(2), PERIOD - 1, 0) > 0
+            holds = _marked(words, batch.column(3), PERIOD - 1, 0) > 0
             at, doc = at[holds[at]], doc[holds[at]]
             if len(at):
                 first, second = words.hashes(_WORD[0]), words.hashes(_WORD[1])
@@ -153,8 +153,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
                 b = _RANGE[2].ranges(second, at, at + window) >> np.uint64(32)
                 yield _places(batch, doc, at - words.first[doc], [a, b])
 
-    shared = _repeated(texts.select("h", "text").mapInArrow(anchors, _PLACES[1]))
-    candidates = texts.join(shared, "h").select("h", "text", "places")
+    # all uses of ``texts`` take all its columns, so that its exchange is written once and reused
+    shared = _repeated(texts.mapInArrow(anchors, _PLACES[1]))
+    candidates = texts.join(shared, "h").select("h", "text", "copies", "places")
     return texts, _repeated(candidates.mapInArrow(windows, _PLACES[2]))
 
 
