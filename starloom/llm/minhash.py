@@ -13,8 +13,10 @@ case; with fewer words the whole sequence is one shingle. Documents are linked i
    Pairs are verified on full sets; links give first components.
 3. Two members of a bucket that are still in different components may be linked
    yet. Members outside their bucket's largest component meet all others, in blocks
-   of 256 signatures; a pair whose agreement is within 4.5 standard errors of
-   the limit is verified on full sets as well, and components are formed anew.
+   of 256 signatures. Shingles that no other such member has are counted first: they
+   can't be common to a pair, which bounds its similarity. A pair whose bound reaches
+   the limit, and whose agreement comes within 4.5 standard errors of it, is verified
+   on full sets as well, and components are formed anew.
 
 Buckets are split and joined, never collected; no step makes all pairs of a group.
 
@@ -153,7 +155,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _near_misses(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``id, own``: how many of a text's shingles no other text here has (texts without any are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in steps(batches, 1):
+            owner, shingles = shingle_sets(batch.column(1), width)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["shingle", "id"])
+
+    held = texts.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    return held.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _near_misses(members: DataFrame, classes: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of members of one bucket in different components that may be similar enough.
 
     ``members``: ``key, id, component``. In blocks: those outside the bucket's largest
@@ -162,22 +176,25 @@ def _near_misses(members: DataFrame, classes: DataFrame, percent: int) -> DataFr
     tally = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     shape = shape.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("n_few"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"))
-    rows = members.join(shape, "key").withColumn("few", F.col("component") != F.col("main"))
+    rows = checkpointed(members.join(shape, "key").withColumn("few", F.col("component") != F.col("main")))
+    own = _own_shingles(known.join(rows.select("id").distinct(), "id", "left_semi"), width)
+    signed = checkpointed(classes.select("id", "n", "sig").join(rows.select("id").distinct(), "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sig"))
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     asking = rows.filter("few").select("key", "id", "component", "few", part("n_few").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("q"), F.lit(True).alias("asks"))
     asked = rows.select("key", "id", "component", "few", F.explode(F.sequence(F.lit(0), F.col("n_few") - 1)).alias("p"), part("n_all").alias("q"), F.lit(False).alias("asks"))
-    together = asking.unionByName(asked).join(classes.select("id", "n", "sig"), "id").select("key", "p", "q", "asks", "few", "id", "component", "n", "sig")
+    together = asking.unionByName(asked).join(signed, "id").select("key", "p", "q", "asks", "few", "id", "component", "n", "own", "sig")
     limit = percent / 100
     floor = limit - 4.5 * (limit * (1 - limit) / _COORDINATES) ** 0.5
 
     def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         asks = batch.column(3).to_numpy(zero_copy_only=False)
-        ids, parts, n = (batch.column(k).to_numpy() for k in (5, 6, 7))
+        ids, parts, n, own = (batch.column(k).to_numpy() for k in (5, 6, 7, 8))
         few = batch.column(4).to_numpy(zero_copy_only=False)
-        signatures = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, _COORDINATES)
+        signatures = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(-1, _COORDINATES)
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
         apart = (parts[x][:, None] != parts[y]) & (~few[y] | (ids[x][:, None] < ids[y]))
-        apart &= 100 * np.minimum(n[x][:, None], n[y]) >= percent * np.maximum(n[x][:, None], n[y])
+        most = np.minimum((n - own)[x][:, None], (n - own)[y])  # common shingles
+        apart &= 100 * most >= percent * (n[x][:, None] + n[y] - most)
         i, j = np.nonzero(apart)
         equal = signatures[x[i]] == signatures[y[j]]
         near = equal.mean(1) >= floor
@@ -231,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = checkpointed(_verified(pairs, known, width, percent))
     first = components(links)
     members = shared.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = checkpointed(_verified(checkpointed(_near_misses(members, classes, percent)), known, width, percent))
+    more = checkpointed(_verified(checkpointed(_near_misses(members, classes, known, width, percent)), known, width, percent))
     final = first if more.isEmpty() else components(links.unionByName(more))
     of_class = classes.select("c1", "c2", F.col("id").alias("class_id"))
     reached = of_class.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("c1", "c2", F.coalesce("component", "class_id").alias("component"))
