@@ -14,9 +14,10 @@ case; with fewer words the whole sequence is one shingle. Documents are linked i
 3. Two members of a bucket that are still in different components may be linked
    yet. Members outside their bucket's largest component meet all others, in blocks
    of 256 signatures. Shingles that no other such member has are counted first: they
-   can't be common to a pair, which bounds its similarity. A pair whose bound reaches
-   the limit, and whose agreement comes within 4.5 standard errors of it, is verified
-   on full sets as well, and components are formed anew.
+   can't be common to a pair, which bounds its similarity. Twice, each member's three
+   most alike partners alone are verified, which joins nearly all that belong
+   together; then every pair that is left whose bound reaches the limit, and whose
+   agreement comes within 4.5 standard errors of it. Components are formed anew each time.
 
 Buckets are split and joined, never collected; no step makes all pairs of a group.
 
@@ -32,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm._components import components
@@ -167,18 +168,20 @@ def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
     return held.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
 
 
-def _near_misses(members: DataFrame, classes: DataFrame, known: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of members of one bucket in different components that may be similar enough.
-
-    ``members``: ``key, id, component``. In blocks: those outside the bucket's largest
-    component against all.
-    """
+def _unsettled(members: DataFrame) -> DataFrame:
+    """Members ``key, id, component`` of buckets with several components, with whether they are outside
+    the largest one (``few``) and the numbers of blocks for those and for all."""
     tally = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     shape = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     shape = shape.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("n_few"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"))
-    rows = checkpointed(members.join(shape, "key").withColumn("few", F.col("component") != F.col("main")))
-    own = _own_shingles(known.join(rows.select("id").distinct(), "id", "left_semi"), width)
-    signed = checkpointed(classes.select("id", "n", "sig").join(rows.select("id").distinct(), "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sig"))
+    return checkpointed(members.join(shape, "key").withColumn("few", F.col("component") != F.col("main")))
+
+
+def _near_misses(rows: DataFrame, signed: DataFrame, percent: int, best: int | None) -> DataFrame:
+    """Pairs ``a, b`` of members of one bucket in different components that may be similar enough.
+
+    In blocks: members outside the bucket's largest component against all. ``best``: only so many partners a member.
+    """
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     asking = rows.filter("few").select("key", "id", "component", "few", part("n_few").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("q"), F.lit(True).alias("asks"))
     asked = rows.select("key", "id", "component", "few", F.explode(F.sequence(F.lit(0), F.col("n_few") - 1)).alias("p"), part("n_all").alias("q"), F.lit(False).alias("asks"))
@@ -186,7 +189,7 @@ def _near_misses(members: DataFrame, classes: DataFrame, known: DataFrame, width
     limit = percent / 100
     floor = limit - 4.5 * (limit * (1 - limit) / _COORDINATES) ** 0.5
 
-    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         asks = batch.column(3).to_numpy(zero_copy_only=False)
         ids, parts, n, own = (batch.column(k).to_numpy() for k in (5, 6, 7, 8))
         few = batch.column(4).to_numpy(zero_copy_only=False)
@@ -197,20 +200,26 @@ def _near_misses(members: DataFrame, classes: DataFrame, known: DataFrame, width
         apart &= 100 * most >= percent * (n[x][:, None] + n[y] - most)
         i, j = np.nonzero(apart)
         equal = signatures[x[i]] == signatures[y[j]]
-        near = equal.mean(1) >= floor
-        i, j, equal = i[near], j[near], equal[near]
+        alike = equal.mean(1)
+        near = alike >= floor
+        if best:
+            order = np.lexsort((-alike, i))
+            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
+            near[order[place >= best]] = False
+        i, j, equal, alike = i[near], j[near], equal[near], alike[near]
+        if best:
+            return ids[x[i]], ids[y[j]], alike
         shared = equal.reshape(len(i), BANDS, ROWS).all(2)
         key = batch.column(0)[0].as_py() if batch.num_rows else 0
         mine = band_keys(signatures[x[i]]).view(np.int64) == key
         once = mine.argmax(1) == shared.argmax(1)  # a pair counts in the first band that it shares
-        return ids[x[i[once]]], ids[y[j[once]]]
+        return ids[x[i[once]]], ids[y[j[once]]], alike[once]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
         def out(group: pa.RecordBatch) -> pa.RecordBatch:
-            a, b = pairs_of(group)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs_of(group)], names=["a", "b", "alike"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -227,7 +236,10 @@ def _near_misses(members: DataFrame, classes: DataFrame, known: DataFrame, width
         if waiting:
             yield out(waiting[0])
 
-    return together.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+    found = together.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long, alike double").distinct()
+    if best:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).filter(F.col("r") <= best)
+    return checkpointed(found.select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,12 +258,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = shared.join(heads, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
     known = checkpointed(texts.join(weight.select("id"), "id", "left_semi"))
     links = checkpointed(_verified(pairs, known, width, percent))
-    first = components(links)
-    members = shared.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    more = checkpointed(_verified(checkpointed(_near_misses(members, classes, known, width, percent)), known, width, percent))
-    final = first if more.isEmpty() else components(links.unionByName(more))
+    now, signed_few = components(links), None
+    for best in (3, 3, None):
+        labels = now.withColumnRenamed("node", "id")
+        rows = _unsettled(shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        if rows.isEmpty():
+            break
+        if signed_few is None:
+            few = rows.select("id").distinct()
+            own = _own_shingles(known.join(few, "id", "left_semi"), width)
+            signed_few = checkpointed(classes.select("id", "n", "sig").join(few, "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sig"))
+        more = checkpointed(_verified(_near_misses(rows, signed_few, percent, best), known, width, percent))
+        if not more.isEmpty():
+            now = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.select("c1", "c2", F.col("id").alias("class_id"))
-    reached = of_class.join(final.withColumnRenamed("node", "class_id"), "class_id", "left").select("c1", "c2", F.coalesce("component", "class_id").alias("component"))
+    reached = of_class.join(now.withColumnRenamed("node", "class_id"), "class_id", "left").select("c1", "c2", F.coalesce("component", "class_id").alias("component"))
     rows = signed.select("id", "n", "c1", "c2").join(reached, ["c1", "c2"], "left")
     real: Column = F.when(F.col("id") != _NO_ID, F.col("id"))
     component = F.coalesce("component", "id")
