@@ -10,13 +10,13 @@ long, at cover positions of both texts, and only anchors at cover positions (5 o
 21) are hashed and shuffled. Anchors found twice are extended: the windows that
 contain one, and only those, are compared by 96 bits of two independent digests of all their words.
 
-Rows of equal text (by their MD5) are one text with several copies, which all of its
-windows repeat; it is compared with others once.
+Rows of equal text (by an 84-bit content key) are one text with several copies, which
+all of its windows repeat; it is compared with others once.
 
 Skew: within a slice of texts a repeated anchor or window is known to repeat at
 once, and a single witness of it is shuffled, so a passage in a third of all texts
 sends one row for each slice of about 2 MB. Places found to repeat go back to their
-texts by the texts' MD5. A text's places are bounded by its own length.
+texts by that key. A text's places are bounded by its own length.
 
 Defined cases: a null text has no words; its kept text is empty. Rows that repeat a
 text, with the same id or not, are places of their own, so whole texts of ``window``
@@ -67,15 +67,15 @@ def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return repeated, order[new]
 
 
-def _rows(docs: DataFrame, text_col: str) -> tuple[Column, Column]:
-    """The content hash ``h`` and the text without nulls."""
+def _key(docs: DataFrame, text_col: str) -> list[Column]:
+    """A text's content key, ``k`` and the 20 bits ``t``, and the text without nulls. None is null."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return F.unhex(F.md5(text)).alias("h"), text.alias("text")
+    return [F.xxhash64(text).alias("k"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
 
 
-#: What ``flags`` holds besides four times the place.
-_KNOWN, _TWICE = 1, 2
-_PLACES = {1: "a long, h binary, flags long", 2: "a long, b int, h binary, flags long"}
+#: Of ``flags``, from the lowest bit: known, twice, the place (42 bits), ``t``.
+_KNOWN, _TWICE, _T_BITS, _T_SHIFT = 1, 2, 20, 44
+_PLACES = {1: "a long, k long, flags long", 2: "a long, b int, k long, flags long"}
 
 
 def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
@@ -86,18 +86,18 @@ def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: lis
     repeated, witness = _once(keys)
     known = np.flatnonzero(repeated)
     rows = np.concatenate([witness, known])
-    flags = place[rows] * 4
+    text = pa.array(doc[rows])
+    flags = place[rows] * 4 + (batch.column(1).take(text).to_numpy() << _T_SHIFT)
     flags[: len(witness)] += repeated[witness] * _TWICE
     flags[len(witness) :] += _KNOWN
     columns = [k[rows] for k in keys]
     columns[0][len(witness) :] = mix(columns[0][len(witness) :] + place[known].astype(np.uint64) + mix(doc[known].astype(np.uint64)))
-    text = pa.array(doc[rows])
     arrays = [pa.array(columns[0].view(np.int64)), *(pa.array(c.astype(np.uint32).view(np.int32)) for c in columns[1:])]
-    return pa.RecordBatch.from_arrays([*arrays, batch.column(0).take(text), pa.array(flags)], names=["a", "b"][: len(keys)] + ["h", "flags"])
+    return pa.RecordBatch.from_arrays([*arrays, batch.column(0).take(text), pa.array(flags)], names=["a", "b"][: len(keys)] + ["k", "flags"])
 
 
 def _repeated(places: DataFrame) -> DataFrame:
-    """``h, places``: of each text, the places whose key starts elsewhere too.
+    """``k, t, places``: of each text, the places whose key starts elsewhere too.
 
     Witnesses of one key from several slices make each of them a repeated place; in
     slices that hold the key twice, the places are known.
@@ -107,7 +107,8 @@ def _repeated(places: DataFrame) -> DataFrame:
     is_twice = F.col("flags").bitwiseAND(F.lit(_TWICE)) > 0
     n = F.sum(F.when(is_known, 0).otherwise(1)).over(Window.partitionBy(*keys))
     found = places.withColumn("n", n).filter(is_known | ((F.col("n") > 1) & ~is_twice))
-    return found.groupBy("h").agg(F.collect_list(F.shiftright("flags", 2).cast("int")).alias("places"))
+    place = F.shiftright("flags", 2).bitwiseAND(F.lit((1 << _T_SHIFT - 2) - 1)).cast("int")
+    return found.groupBy("k", F.shiftrightunsigned("flags", _T_SHIFT).alias("t")).agg(F.collect_list(place).alias("places"))
 
 
 def _marked(words: Words, places: pa.Array, before: int, after: int) -> np.ndarray:
@@ -123,16 +124,16 @@ def _marked(words: Words, places: pa.Array, before: int, after: int) -> np.ndarr
 
 
 def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Distinct texts ``h, text, copies``, and ``h, places``: the starts of their windows that other texts or places have."""
+    """Distinct texts ``k, t, text, copies``, and ``k, t, places``: the starts of their windows that other texts or places have."""
     anchor = window - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"the window must hold at least {PERIOD} words")
-    texts = docs.select(*_rows(docs, text_col)).groupBy("h").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = docs.select(*_key(docs, text_col)).groupBy("k", "t").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
     in_cover = np.isin(np.arange(PERIOD), COVER)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            words = split_words(batch.column(1))
+        for batch in steps(batches, 2):
+            words = split_words(batch.column(2))
             at, doc = _lines(words, anchor)
             place = at - words.first[doc]
             chosen = in_cover[place % PERIOD] & (np.diff(words.first)[doc] >= window)
@@ -142,10 +143,10 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
                 yield _places(batch, doc, place, [a])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            words = split_words(batch.column(1))
+        for batch in steps(batches, 2):
+            words = split_words(batch.column(2))
             at, doc = _lines(words, window)
-            holds = _marked(words, batch.column(3), PERIOD - 1, 0) > 0
+            holds = _marked(words, batch.column(4), PERIOD - 1, 0) > 0
             at, doc = at[holds[at]], doc[holds[at]]
             if len(at):
                 first, second = words.hashes(_WORD[0]), words.hashes(_WORD[1])
@@ -155,43 +156,43 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
 
     # all uses of ``texts`` take all its columns, so that its exchange is written once and reused
     shared = _repeated(texts.mapInArrow(anchors, _PLACES[1]))
-    candidates = texts.join(shared, "h").select("h", "text", "copies", "places")
+    candidates = texts.join(shared, ["k", "t"]).select("k", "t", "text", "copies", "places")
     return texts, _repeated(candidates.mapInArrow(windows, _PLACES[2]))
 
 
 def _cut(docs: DataFrame, window: int, text_col: str) -> DataFrame:
-    """``h, n_words, n_removed, kept_text`` of the distinct texts."""
+    """``k, t, n_words, n_removed, kept_text`` of the distinct texts."""
     texts, found = repeated_windows(docs, window, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            words = split_words(batch.column(1))
+        for batch in steps(batches, 2):
+            words = split_words(batch.column(2))
             n = np.diff(words.first)
-            gone = _marked(words, batch.column(3), 0, window - 1) > 0
-            copied = (batch.column(2).to_numpy() > 1) & (n >= window)
+            gone = _marked(words, batch.column(4), 0, window - 1) > 0
+            copied = (batch.column(3).to_numpy() > 1) & (n >= window)
             gone |= copied[words.doc_of()]
             lost = np.bincount(words.doc_of()[gone], minlength=len(n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["h", "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["k", "t", "n_words", "n_removed", "kept_text"])
 
-    rows = texts.join(found, "h", "left").select("h", "text", "copies", "places")
-    return rows.mapInArrow(cut, "h binary, n_words long, n_removed long, kept_text string")
+    rows = texts.join(found, ["k", "t"], "left").select("k", "t", "text", "copies", "places")
+    return rows.mapInArrow(cut, "k long, t long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text``: kept words joined by one space, one row for each
     input row. With ``digest``, ``kept_sha256`` takes the kept text's place before rows are joined."""
     kept = F.sha2("kept_text", 256).alias("kept_sha256") if digest else F.col("kept_text")
-    results = _cut(docs, window, text_col).select("h", "n_words", "n_removed", kept)
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), _rows(docs, text_col)[0])
-    return rows.join(results, "h").drop("h")
+    results = _cut(docs, window, text_col).select("k", "t", "n_words", "n_removed", kept)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), *_key(docs, text_col)[:2])
+    return rows.join(results, ["k", "t"]).drop("k", "t")
 
 
 def without_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with all their columns; texts that lose words are replaced by
     what they keep (and ``length_col``, if there is one, by its length), others stay as they are."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _rows(docs, text_col)[0])
-    changed = _cut(docs, window, text_col).filter("n_removed > 0").select("h", "kept_text")
-    joined = rows.join(changed, "h", "left")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_key(docs, text_col)[:2])
+    changed = _cut(docs, window, text_col).filter("n_removed > 0").select("k", "t", "kept_text")
+    joined = rows.join(changed, ["k", "t"], "left")
     lost = F.col("kept_text").isNotNull()
     new = {text_col: F.when(lost, F.col("kept_text")).otherwise(F.col(f"row.`{text_col}`"))}
     if length_col in docs.columns:
