@@ -12,7 +12,7 @@ from starloom.plans.catalog import query
 from starloom.plans.matching import register
 from starloom.session import read_table, scratch_path
 from starloom.sources import records
-from starloom.sources.points import TRUTH_2D, query_points, reference_points
+from starloom.sources.points import TRUTH_2D, TRUTH_3D, query_points, query_points_3d, reference_points
 from starloom.streaming import registration as streaming
 
 
@@ -305,6 +305,26 @@ def match_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, "graph")
 
 
+_MATCH_3D = {"pyramid": {"n_iters": 2000}, "hashing": {"n_iters": 2400, "base_dist_um": 60.0, "max_pairs_per_anchor": 3, "max_k_per_pair": 3, "max_l_per_triple": 4, "min_inliers": 8}}
+
+
+def _match_3d(spark: SparkSession, sf_dir: str, matcher: str) -> DataFrame:
+    reference = reference_points(spark, sf_dir, ("z", "y", "x"))
+    row = register(query_points_3d(spark, sf_dir), reference, matcher, {**_MATCH_3D[matcher], "inlier_radius_um": 2.0}, dims=3)
+    good = bool(row["success"]) and abs(row["scale"] / TRUTH_3D["scale"] - 1) < 0.04 and all(abs(row[f"t{k}"] - TRUTH_3D[f"t{k}"]) < 3 for k in range(3))
+    return spark.createDataFrame([(matcher, good)], "matcher string, recovered boolean")
+
+
+@query("select 'pyramid' as matcher, true as recovered")
+def match_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match_3d(spark, sf_dir, "pyramid")
+
+
+@query("select 'hashing' as matcher, true as recovered")
+def match_hashing_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _match_3d(spark, sf_dir, "hashing")
+
+
 @query("select count(*) as n, count(*) as n_inliers from orders")
 def stream_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points as files in a folder, matched batch by batch as they arrive."""

@@ -42,6 +42,23 @@ def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_points(spark, sf_dir).filter(inside).select("pid", ((c * dy + sn * dx) / s).alias("y"), ((-sn * dy + c * dx) / s).alias("x"))
 
 
+#: The same in three dimensions: a turn about the z axis.
+TRUTH_3D = {"scale": 1.1, "angle_deg": 20.0, "t0": 7.0, "t1": -6.0, "t2": 9.0}
+QUERY_BOX_3D = ((150.0, 350.0), (300.0, 500.0), (300.0, 500.0))
+
+
+def query_points_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference points of a 3-D box, mapped back by the inverse of ``TRUTH_3D``."""
+    t, angle = TRUTH_3D, math.radians(TRUTH_3D["angle_deg"])
+    c, sn = math.cos(angle), math.sin(angle)
+    inside = F.lit(True)
+    for d, (low, high) in zip("zyx", QUERY_BOX_3D, strict=True):
+        inside = inside & (F.col(d) >= low) & (F.col(d) < high)
+    dz, dy, dx = (F.col(d) - t[f"t{k}"] for k, d in enumerate("zyx"))
+    held = reference_points(spark, sf_dir, ("z", "y", "x")).filter(inside)
+    return held.select("pid", (dz / t["scale"]).alias("z"), ((c * dy + sn * dx) / t["scale"]).alias("y"), ((-sn * dy + c * dx) / t["scale"]).alias("x"))
+
+
 def centroids(features: DataFrame, pixel: dict[str, float] | None = None) -> DataFrame:
     """Coordinates in micrometres from a feature table: ``centroid_*_um``, else ``centroid_*_px`` times the pixel size."""
     dims = [d for d in ("z", "y", "x") if f"centroid_{d}_um" in features.columns or f"centroid_{d}_px" in features.columns]
