@@ -10,7 +10,7 @@ long, at cover positions of both texts, and only anchors at cover positions (5 o
 21) are hashed and shuffled. Anchors found twice are extended: the windows that
 contain one, and only those, are compared by 96 bits of two independent digests of all their words.
 
-Rows of equal text (by an 84-bit content key) are one text with several copies, which
+Rows of equal text (by an 80-bit content key) are one text with several copies, which
 all of its windows repeat; it is compared with others once.
 
 Skew: within a slice of texts a repeated anchor or window is known to repeat at
@@ -68,20 +68,23 @@ def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(docs: DataFrame, text_col: str) -> list[Column]:
-    """A text's content key, ``k`` and the 20 bits ``t``, and the text without nulls. None is null."""
+    """A text's content key, ``k`` and the 16 bits ``t``, and the text without nulls. None is null."""
     text = F.coalesce(docs[text_col], F.lit(""))
     return [F.xxhash64(text).alias("k"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
 
 
-#: Of ``flags``, from the lowest bit: known, twice, the place (42 bits), ``t``.
-_KNOWN, _TWICE, _T_BITS, _T_SHIFT = 1, 2, 20, 44
+#: Of ``flags``, from the lowest bit: known, twice, the place (46 bits), ``t``.
+_KNOWN, _TWICE, _T_BITS, _T_SHIFT = 1, 2, 16, 48
+#: Bits of an anchor's key that are kept (others only pass more candidates), and of the number that deals out known places.
+_ANCHOR_BITS, _DEALT_BITS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFFFFFF00000000)
 _PLACES = {1: "a long, k long, flags long", 2: "a long, b int, k long, flags long"}
 
 
 def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
     """One witness row for each key, and a row for each place known to repeat already.
 
-    Known places are not compared any more; their key only deals them out evenly.
+    Known places are not compared any more; their key only deals them out evenly. Zero bytes
+    stand together in a row, where the shuffle's compression takes them out.
     """
     repeated, witness = _once(keys)
     known = np.flatnonzero(repeated)
@@ -91,7 +94,9 @@ def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: lis
     flags[: len(witness)] += repeated[witness] * _TWICE
     flags[len(witness) :] += _KNOWN
     columns = [k[rows] for k in keys]
-    columns[0][len(witness) :] = mix(columns[0][len(witness) :] + place[known].astype(np.uint64) + mix(doc[known].astype(np.uint64)))
+    columns[0][len(witness) :] = mix(columns[0][len(witness) :] + place[known].astype(np.uint64) + mix(doc[known].astype(np.uint64))) & _DEALT_BITS
+    for c in columns[1:]:
+        c[len(witness) :] = 0
     arrays = [pa.array(columns[0].view(np.int64)), *(pa.array(c.astype(np.uint32).view(np.int32)) for c in columns[1:])]
     return pa.RecordBatch.from_arrays([*arrays, batch.column(0).take(text), pa.array(flags)], names=["a", "b"][: len(keys)] + ["k", "flags"])
 
@@ -139,7 +144,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
             chosen = in_cover[place % PERIOD] & (np.diff(words.first)[doc] >= window)
             at, doc, place = at[chosen], doc[chosen], place[chosen]
             if len(at):
-                a = _RANGE[0].ranges(words.hashes(_WORD[0]), at, at + anchor)
+                a = _RANGE[0].ranges(words.hashes(_WORD[0]), at, at + anchor) & _ANCHOR_BITS
                 yield _places(batch, doc, place, [a])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
