@@ -15,8 +15,8 @@ case; with fewer words the whole sequence is one shingle. Documents are linked i
    yet. Members outside their bucket's largest component meet all others, in blocks
    of 256 signatures. Shingles that no other such member has are counted first: they
    can't be common to a pair, which bounds its similarity. Twice, each member's three
-   most alike partners alone are verified, which joins nearly all that belong
-   together; then every pair that is left whose bound reaches the limit, and whose
+   most alike partners in a quarter of the buckets are verified, which joins nearly
+   all that belong together; then, in all buckets, every pair that is left whose bound reaches the limit, and whose
    agreement comes within 4.5 standard errors of it. Components are formed anew each time.
 
 Buckets are split and joined, never collected; no step makes all pairs of a group.
@@ -258,16 +258,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     pairs = shared.join(heads, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
     known = checkpointed(texts.join(weight.select("id"), "id", "left_semi"))
     links = checkpointed(_verified(pairs, known, width, percent))
-    now, signed_few = components(links), None
+    now = components(links)
     for best in (3, 3, None):
         labels = now.withColumnRenamed("node", "id")
-        rows = _unsettled(shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
+        seen = shared.filter(F.pmod(F.xxhash64("key"), F.lit(4)) == 0) if best else shared
+        rows = _unsettled(seen.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
         if rows.isEmpty():
-            break
-        if signed_few is None:
-            few = rows.select("id").distinct()
+            continue
+        few = rows.select("id").distinct()
+        signed_few = classes.select("id", "n", "sig").join(few, "id", "left_semi")
+        if best:
+            signed_few = signed_few.withColumn("own", F.lit(0).cast("long"))
+        else:
             own = _own_shingles(known.join(few, "id", "left_semi"), width)
-            signed_few = checkpointed(classes.select("id", "n", "sig").join(few, "id", "left_semi").join(own, "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).cast("long").alias("own"), "sig"))
+            signed_few = signed_few.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
+        signed_few = checkpointed(signed_few.select("id", "n", "own", "sig"))
         more = checkpointed(_verified(_near_misses(rows, signed_few, percent, best), known, width, percent))
         if not more.isEmpty():
             now = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
