@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from starloom.llm._words import Rolling, Words, mix, split_words
 from starloom.llm.tokenizing import steps
@@ -173,9 +174,7 @@ def _cut(docs: DataFrame, window: int, text_col: str) -> DataFrame:
         for batch in steps(batches, 2):
             words = split_words(batch.column(2))
             n = np.diff(words.first)
-            gone = _marked(words, batch.column(4), 0, window - 1) > 0
-            copied = (batch.column(3).to_numpy() > 1) & (n >= window)
-            gone |= copied[words.doc_of()]
+            gone = _lost(batch, words, window)
             lost = np.bincount(words.doc_of()[gone], minlength=len(n))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["k", "t", "n_words", "n_removed", "kept_text"])
 
@@ -194,15 +193,37 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
 def without_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The rows of ``docs`` with all their columns; texts that lose words are replaced by
-    what they keep (and ``length_col``, if there is one, by its length), others stay as they are."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_key(docs, text_col)[:2])
-    changed = _cut(docs, window, text_col).filter("n_removed > 0").select("k", "t", "kept_text")
-    joined = rows.join(changed, ["k", "t"], "left")
-    lost = F.col("kept_text").isNotNull()
-    new = {text_col: F.when(lost, F.col("kept_text")).otherwise(F.col(f"row.`{text_col}`"))}
+    what they keep (and ``length_col``, if there is one, by its length), others stay as they are.
+
+    Other columns join the distinct texts before those are cut, so texts move once.
+    """
+    texts, found = repeated_windows(docs, window, text_col)
+    others = F.struct(docs[text_col].isNull().alias("_none"), *[docs[c] for c in docs.columns if c != text_col]).alias("row")
+    rows = docs.select(*_key(docs, text_col)[:2], others)
+    joined = texts.join(found, ["k", "t"], "left").join(rows, ["k", "t"]).select("k", "t", "text", "copies", "places", "row")
+    schema = StructType([joined.schema["row"], StructField("text", StringType()), StructField("changed", BooleanType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for batch in steps(batches, 2):
+            words = split_words(batch.column(2))
+            gone = _lost(batch, words, window)
+            changed = pa.array(np.bincount(words.doc_of()[gone], minlength=batch.num_rows) > 0)
+            text = pc.if_else(changed, join_words(words, ~gone), batch.column(2).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(5), text, changed], names=["row", "text", "changed"])
+
+    out = joined.mapInArrow(cut, schema)
+    text = F.when(~F.col("row._none"), F.col("text"))
+    new = {text_col: text}
     if length_col in docs.columns:
-        new[length_col] = F.when(lost, F.length("kept_text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
-    return joined.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        new[length_col] = F.when(F.col("changed"), F.length("text").cast(docs.schema[length_col].dataType)).otherwise(F.col(f"row.`{length_col}`"))
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _lost(batch: pa.RecordBatch, words: Words, window: int) -> np.ndarray:
+    """The words that go, for rows ``k, t, text, copies, places``."""
+    gone = _marked(words, batch.column(4), 0, window - 1) > 0
+    copied = (batch.column(3).to_numpy() > 1) & (np.diff(words.first) >= window)
+    return gone | copied[words.doc_of()]
 
 
 def join_words(words: Words, kept: np.ndarray) -> pa.Array:
