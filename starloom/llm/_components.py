@@ -1,7 +1,11 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: chunks of edges are contracted, then large-star and small-star steps alternate."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,33 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
+#: Edges that one task contracts.
+CHUNK = 1_000_000
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """The edges of a partition as stars: each node with the smallest node that it reaches within."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    ends = [np.concatenate([t.column(k).to_numpy() for t in tables]) for k in (0, 1)]
+    nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = place[: len(ends[0])], place[len(ends[0]) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    for at in range(0, len(moved), 100_000):
+        part = moved[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` for each node of undirected ``edges(a, b)``: the smallest node reachable.
 
@@ -21,7 +52,10 @@ def components(edges: DataFrame) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     now = checkpointed(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     mark = _mark(now)
-    while True:
+    chunks = max(1, -(-mark[0] // CHUNK))
+    now = checkpointed(now.coalesce(chunks).mapInArrow(_stars, "a long, b long"))
+    mark = _mark(now)
+    while chunks > 1:  # one chunk's stars are whole
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.filter(b > a).join(low, "a").select(b.alias("a"), F.col("low").alias("b")).filter("a != b")
