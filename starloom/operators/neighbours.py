@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.geometry import tetrahedron, triangle_area2, triangle_descriptor
 from starloom.operators.spatial import knn_join
+from starloom.session import checkpointed
 
 
 def neighbours(points: DataFrame, k: int, dims: Sequence[str] = ("y", "x"), by: Sequence[str] = ()) -> DataFrame:
@@ -56,19 +57,26 @@ def tetrahedron_features(near: DataFrame, points: DataFrame, n_tetra: int = 15,
     rows = _located(near, points, dims, by)
     here = [F.col(f"i{d}") for d in dims]
     gathered = rows.groupBy(*by, "i", *[f"i{d}" for d in dims]).agg(F.array_sort(F.collect_list(F.struct("rank", *[f"j{d}" for d in dims]))).alias("ns"))  # k rows at most
-    three = gathered
-    for name, after in (("a", None), ("b", "a"), ("c", "b")):
-        three = three.select("*", F.explode(F.expr("ns" if after is None else f"filter(ns, n -> n.rank > {after}.rank)")).alias(name))
     corner = lambda p: [F.col(f"{p}.j{d}") for d in dims]
-    shape = tetrahedron([here, corner("a"), corner("b"), corner("c")])
-    staged = three.withColumns({"_v": shape["volume"], "_e": shape["edges"]}).withColumn("_m", F.aggregate("_e", F.lit(0.0), lambda x, y: x + y) / 6)
-    cube, low, high = F.greatest(F.col("_m") * F.col("_m") * F.col("_m"), F.lit(1e-12)), F.element_at("_e", 1), F.element_at("_e", 6)
-    valid = staged.filter((low > 1e-8) & (high <= 50 * low) & (F.col("_v") / cube > 1e-4))
-    parts = valid.select(
-        *by, "i", F.row_number().over(Window.partitionBy(*by, "i").orderBy("a.rank", "b.rank", "c.rank")).alias("n"),
-        (15 * F.col("_v") / cube).alias("d0"), *[(F.element_at("_e", e) / F.col("_m")).alias(f"d{e}") for e in range(1, 7)],
-    )
-    return parts.filter(F.col("n") <= n_tetra).groupBy(*by, "i").agg(F.array(*[F.avg(f"d{e}") for e in range(7)]).alias("f"))
+
+    def first_valid(nodes: DataFrame, a: str, b: str) -> DataFrame:
+        three = nodes
+        for name, some in (("a", a), ("b", b), ("c", "filter(ns, n -> n.rank > b.rank)")):
+            three = three.select("*", F.explode(F.expr(some)).alias(name))
+        shape = tetrahedron([here, corner("a"), corner("b"), corner("c")])
+        staged = three.withColumns({"_v": shape["volume"], "_e": shape["edges"]}).withColumn("_m", F.aggregate("_e", F.lit(0.0), lambda x, y: x + y) / 6)
+        cube, low, high = F.greatest(F.col("_m") * F.col("_m") * F.col("_m"), F.lit(1e-12)), F.element_at("_e", 1), F.element_at("_e", 6)
+        valid = staged.filter((low > 1e-8) & (high <= 50 * low) & (F.col("_v") / cube > 1e-4))
+        parts = valid.select(
+            *by, "i", F.row_number().over(Window.partitionBy(*by, "i").orderBy("a.rank", "b.rank", "c.rank")).alias("n"),
+            (15 * F.col("_v") / cube).alias("d0"), *[(F.element_at("_e", e) / F.col("_m")).alias(f"d{e}") for e in range(1, 7)],
+        )
+        return parts.filter(F.col("n") <= n_tetra).groupBy(*by, "i").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f"d{e}") for e in range(7)]).alias("f"))
+
+    # the first in order are those with the two nearest; the few nodes with too few of them form all
+    settled = checkpointed(first_valid(gathered, "slice(ns, 1, 1)", "slice(ns, 2, 1)").filter(F.col("n") == n_tetra))
+    others = gathered.join(settled.select(*by, "i"), [*by, "i"], "left_anti")
+    return settled.unionByName(first_valid(others, "ns", "filter(ns, n -> n.rank > a.rank)")).select(*by, "i", "f")
 
 
 def graph_features(near: DataFrame, points: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
