@@ -1,4 +1,4 @@
-"""Connected components of an edge table: chunks of edges are contracted, then large-star and small-star steps alternate."""
+"""Connected components of an edge table: each partition's edges are contracted, then large-star and small-star steps alternate."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starloom.llm._workers import lean
 from starloom.session import checkpointed
 
 
@@ -16,18 +17,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
 
 
-#: Edges that one task contracts.
+#: Edges that are contracted at a time; a bound of memory only.
 CHUNK = 1_000_000
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """The edges of a partition as stars: each node with the smallest node that it reaches within."""
-    tables = [b for b in batches if b.num_rows]
-    if not tables:
-        return
-    ends = [np.concatenate([t.column(k).to_numpy() for t in tables]) for k in (0, 1)]
-    nodes, place = np.unique(np.concatenate(ends), return_inverse=True)
-    a, b = place[: len(ends[0])], place[len(ends[0]) :]
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges as stars: each node with the smallest node that it reaches by them, but for that node itself."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
     label = np.arange(len(nodes))
     while True:
         low = label.copy()
@@ -38,24 +35,39 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
             break
         label = low
     moved = np.flatnonzero(label != np.arange(len(nodes)))
-    for at in range(0, len(moved), 100_000):
-        part = moved[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[label[part]])], names=["a", "b"])
+    return nodes[moved], nodes[label[moved]]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    waiting: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    size = 0
+
+    def out() -> Iterable[pa.RecordBatch]:
+        a, b = contracted(*np.concatenate(waiting, axis=1))
+        for at in range(0, len(a), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 100_000]), pa.array(b[at : at + 100_000])], names=["a", "b"])
+
+    for batch in batches:
+        waiting.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
+        size += batch.num_rows
+        if size >= CHUNK:
+            yield from out()
+            waiting, size = [np.zeros((2, 0), np.int64)], 0
+    yield from out()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, component`` for each node of undirected ``edges(a, b)``: the smallest node reachable.
+    """``node, component`` for each node of undirected ``edges(a, b)`` of longs: the smallest node reachable.
 
     Each step replaces edges by as many or fewer that point to smaller nodes, and
-    keeps connectivity, until only stars are left. Nulls and loops are dropped.
+    keeps connectivity, until only stars are left. Nulls and loops are dropped, edges
+    may repeat, and no edges give no rows.
     """
     a, b = F.col("a"), F.col("b")
-    now = checkpointed(edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
-    mark = _mark(now)
-    chunks = max(1, -(-mark[0] // CHUNK))
-    now = checkpointed(now.coalesce(chunks).mapInArrow(_stars, "a long, b long"))
+    down = edges.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+    now = checkpointed(down.mapInArrow(lean(_stars), "a long, b long").distinct())
     mark = _mark(now)
-    while chunks > 1:  # one chunk's stars are whole
+    while mark[0]:
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.filter(b > a).join(low, "a").select(b.alias("a"), F.col("low").alias("b")).filter("a != b")

@@ -1,9 +1,16 @@
-"""Words of whole texts as arrays of hashes, for the operators on word windows.
+"""Words of whole texts, as arrays of hashes or of exact numbers, for the operators on words.
 
 A word is a run of bytes other than space and 0x09-0x0D in the UTF-8 text. All work
-is NumPy over the bytes of many texts at once. Hashes are polynomial over table
-values of the bytes, mixed at the end; a word of over ``LONG_WORD`` bytes is hashed
-by BLAKE2b instead, so that memory stays bounded by the text.
+is NumPy over the bytes of many texts at once.
+
+Hashes are made by rounds of multiplications and shifts that mix eight bytes of a word
+at a time, and of a range of words by mixing the hashes of its halves. No step is linear in
+the one before, unlike in polynomial hashes, whose collisions for one base are collisions for
+others. So hashes of two seeds are independent, and 128 bits of them set ranges apart. A word of
+over ``LONG_WORD`` bytes is hashed by BLAKE2b instead, so that memory stays bounded by the text.
+
+``numbers`` compares bytes, not hashes: equal words of a batch, and those only, have
+one number.
 """
 
 from __future__ import annotations
@@ -14,8 +21,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-LONG_WORD = 1 << 16
-_SPAN = 1 << 20
+from starloom.llm._workers import column_bytes
+
+LONG_WORD = 1 << 10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -24,36 +32,65 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
-class Rolling:
-    """Polynomial hashes over Z/2^64 of ranges of a sequence, by prefix sums."""
+class Hasher:
+    """Seeded 64-bit hashes of words, and of ranges of a sequence of hashes."""
 
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.base = int(rng.integers(1 << 62)) * 2 + 1
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.table = rng.integers(0, 1 << 64, 256, np.uint64)
-        self.powers = self.downs = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.powers) < n:
-            size = 1 << max(n, 1024).bit_length()
-            for name, base in (("powers", self.base), ("downs", self.inverse)):
-                values = np.full(size, base, np.uint64)
-                values[0] = 1
-                setattr(self, name, np.multiply.accumulate(values))
-
-    def ranges(self, values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of values[a:b] for each a, b; independent of where it stands."""
-        n = len(values)
-        self._grow(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.powers[:n], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.downs[starts])
+        self.salt, self.left, self.right = rng.integers(0, 1 << 64, 3, np.uint64) | np.uint64(1)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of pairs, in their order."""
+        x = a * self.left
+        x ^= x >> np.uint64(32)
+        x += b
+        x *= self.right
+        x ^= x >> np.uint64(29)
+        x *= self.left
+        x ^= x >> np.uint64(32)
+        return x
+
+    def windows(self, values: np.ndarray, length: int) -> np.ndarray:
+        """The hash of values[i : i + length] for each i."""
+        if len(values) < length:
+            return np.zeros(0, np.uint64)
+        size, spans = 1, mix(values ^ self.salt)
+        while 2 * size <= length:
+            spans = self.join(spans[:-size], spans[size:])
+            size *= 2
+        if size < length:  # two halves that overlap cover the rest
+            over = length - size
+            spans = self.join(spans[:-over], spans[over:])
+        return spans
+
+    def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The hash of data[a:b] for each a, b."""
+        size = ends - starts
+        out = mix(size.astype(np.uint64) ^ self.salt)
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eights = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        live = np.flatnonzero((size > 0) & (size <= LONG_WORD))
+        for k in range(0, LONG_WORD, 8):
+            if not len(live):
+                break
+            part = np.ascontiguousarray(eights[starts[live] + k]).view("<u8").ravel()
+            rest = size[live] - k
+            short = rest < 8
+            part[short] &= (np.uint64(1) << (rest[short] * 8).astype(np.uint64)) - np.uint64(1)
+            out[live] = mix(out[live] * self.right ^ part)
+            live = live[rest > 8]
+        salt = int(self.salt).to_bytes(8, "little")
+        for k in np.flatnonzero(size > LONG_WORD).tolist():
+            out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, salt=salt).digest(), "little")
+        return out
 
 
 @dataclass
@@ -66,26 +103,19 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
 
-    def hashes(self, rolling: Rolling, fold: np.ndarray | None = None) -> np.ndarray:
+    def hashes(self, hasher: Hasher, fold: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash for each word; ``fold`` maps bytes first (lower-casing)."""
-        out = np.empty(len(self.starts), np.uint64)
-        table = rolling.table if fold is None else rolling.table[fold]
-        at = 0
-        while at < len(out):
-            origin = self.starts[at]
-            to = max(int(np.searchsorted(self.ends, origin + _SPAN, "right")), at + 1)
-            if self.ends[at] - origin > LONG_WORD:
-                word = self.data[origin : self.ends[at]]
-                word = word if fold is None else fold[word]
-                salt = rolling.base.to_bytes(8, "little")
-                out[at] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, salt=salt).digest(), "little")
-                at += 1
-                continue
-            long = np.flatnonzero(self.ends[at:to] - self.starts[at:to] > LONG_WORD)
-            to = at + int(long[0]) if long.size else to
-            out[at:to] = rolling.ranges(table[self.data[origin : self.ends[to - 1]]], self.starts[at:to] - origin, self.ends[at:to] - origin)
-            at = to
-        return out
+        return hasher.words(self.data if fold is None else fold[self.data], self.starts, self.ends)
+
+    def numbers(self, fold: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+        """For each word the number of its bytes among the distinct words, and how many there are."""
+        data = self.data if fold is None else fold[self.data]
+        sizes = self.ends - self.starts
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        inside = ~_SPACE[self.data]
+        kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+        column = pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(edges.astype(width)), pa.py_buffer(data[inside])]).dictionary_encode()
+        return column.indices.to_numpy().astype(np.int64), len(column.dictionary)
 
     def doc_of(self) -> np.ndarray:
         """The text that each word belongs to."""
@@ -94,11 +124,7 @@ class Words:
 
 def split_words(column: pa.Array) -> Words:
     """Words of a string column without nulls."""
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    buffer = column.buffers()[2]
-    data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and len(column) else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0]
+    data, offsets = column_bytes(column)
     inside = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True

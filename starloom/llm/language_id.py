@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.tokenizing import steps
+from starloom.llm._workers import steps
 
 UNKNOWN = "und"
 SYMBOLS, SEGMENT = 64, 256

@@ -7,19 +7,24 @@ case; with fewer words the whole sequence is one shingle. Documents are linked i
 1. Signatures need two permutations only: the first places a shingle in a universe
    of 2^20, the second ranks the places, and coordinate k is the least rank after
    a circular shift by k. 51 bands of 5 coordinates miss a pair at 0.8 about twice
-   in 10^9. Documents with equal sets are one class; its smallest id stands for it.
-2. In each bucket of a band, every class is paired with one leader: the member that
+   in 10^9. Rows of equal text (BLAKE2b, 128 bits) are one class; its smallest id stands for it.
+2. In each bucket of a band, every class is paired with one head: the member that
    shares most buckets with others. So pairs grow with members, not their square.
-   Pairs are verified on full sets; links give first components.
+   Links give first components. Every link is confirmed on full sets, and these are compared by
+   their words, not by hashes.
 3. Two members of a bucket that are still in different components may be linked
-   yet. Members outside their bucket's largest component meet all others, in blocks
-   of 256 signatures. Shingles that no other such member has are counted first: they
-   can't be common to a pair, which bounds its similarity. Twice, each member's three
-   most alike partners in a quarter of the buckets are verified, which joins nearly
-   all that belong together; then, in all buckets, every pair that is left whose bound reaches the limit, and whose
-   agreement comes within 4.5 standard errors of it. Components are formed anew each time.
-
-Buckets are split and joined, never collected; no step makes all pairs of a group.
+   yet. Each member outside its bucket's largest component meets all others of a quarter of the
+   buckets, in blocks of 256 signatures, and its three most alike partners are verified. That
+   joins most of those that belong together.
+4. Then, in all buckets, members with a partner in another component whose signature agrees
+   within ``SIGMAS`` standard errors of the limit are doubtful. How far each is from its bucket's head
+   settles most of them: with Dx the shingles that only one of x and the head has,
+   |x ^ y| = |Dx| + |Dy| - 2 |Dx & Dy|, and what no other doubtful member has in its difference can't be
+   in Dx & Dy. So a copy with changes of its own is ruled out by two numbers, without meeting anybody. Pairs whose
+   numbers leave room are verified. Components are formed anew each time.
+
+Buckets are split and joined, never collected. Rows sent grow with members; blocks compare signatures of
+members outside the largest component with those of others in memory, and send on pairs that step 3 or 4 asks for.
 
 Defined cases: null or word-less texts have an empty set and are linked with
 nothing. Ids are to be unique: classes whose smallest id is the same (or missing) are
@@ -29,7 +34,8 @@ decision. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +43,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starloom.llm._components import components
-from starloom.llm._words import Rolling, mix, split_words
-from starloom.llm.tokenizing import steps
+from starloom.llm._words import Hasher, Words, mix, split_words
+from starloom.llm._workers import column_bytes, lean, steps
 from starloom.session import checkpointed
 
 BANDS, ROWS = 51, 5
 UNIVERSE_BITS = 20
 BLOCK = 256
+#: How many standard errors below the limit a signature's agreement may be; beyond, one in some 10^8 linked pairs is lost.
+SIGMAS = 6
+#: How many partners a member tries at a time before all that are left are looked at.
+BEST = 3
 
 _COORDINATES = BANDS * ROWS
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_WORD, _SHINGLE, _CLASS = Rolling(21), Rolling(22), (Rolling(23), Rolling(24))
+_HASH = Hasher(21)
 _NO_ID = -(1 << 63)
 
 
@@ -81,17 +91,20 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return keys
 
 
-def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of texts, as rows (text, 64-bit shingle) in order."""
-    words = split_words(column)
-    hashes = words.hashes(_WORD, _FOLD)
-    n = np.diff(words.first)
-    doc = words.doc_of()
+def _shingled(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the shingles of texts with ``width`` words or more start, and the texts that have fewer (but some)."""
+    doc, n = words.doc_of(), np.diff(words.first)
     m = max(len(doc) - width + 1, 0)
-    at = np.flatnonzero(doc[:m] == doc[width - 1 :])
-    short = np.flatnonzero((n > 0) & (n < width))
-    shingles = np.concatenate([_SHINGLE.ranges(hashes, at, at + width), _SHINGLE.ranges(hashes, words.first[short], words.first[short + 1])])
-    owner = np.concatenate([doc[at], short])
+    return np.flatnonzero(doc[:m] == doc[width - 1 :]), np.flatnonzero((n > 0) & (n < width))
+
+
+def _padded(values: np.ndarray, words: Words, short: np.ndarray, width: int, blank: int) -> np.ndarray:
+    """The values of short texts' words, a row for each text, filled up with ``blank``."""
+    at = words.first[short][:, None] + np.arange(width)
+    return np.where(at < words.first[short + 1][:, None], values[np.minimum(at, max(len(values) - 1, 0))], values.dtype.type(blank))
+
+
+def _distinct(owner: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((shingles, owner))
     owner, shingles = owner[order], shingles[order]
     new = np.ones(len(owner), bool)
@@ -99,6 +112,31 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], shingles[new]
 
 
+def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of texts, as rows (text, 64-bit shingle hash) in order."""
+    words = split_words(column)
+    hashes = words.hashes(_HASH, _FOLD)
+    at, short = _shingled(words, width)
+    few = _HASH.windows(_padded(hashes, words, short, width, 0).ravel(), width)[::width] if len(short) else np.zeros(0, np.uint64)
+    return _distinct(np.concatenate([words.doc_of()[at], short]), np.concatenate([_HASH.windows(hashes, width)[at], few]))
+
+
+def exact_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of texts, as rows (text, number of the shingle) in order: equal numbers, equal words."""
+    words = split_words(column)
+    numbers, many = words.numbers(_FOLD)
+    at, short = _shingled(words, width)
+    few = _padded(numbers, words, short, width, many) if len(short) else np.zeros((0, width), np.int64)
+    shingles, size = np.zeros(len(at) + len(short), np.int64), 1
+    for k in range(width):
+        if size * (many + 1) >= 1 << 62:
+            found, shingles = np.unique(shingles, return_inverse=True)
+            size = len(found)
+        shingles = shingles * (many + 1) + np.concatenate([numbers[at + k], few[:, k]])
+        size *= many + 1
+    return _distinct(np.concatenate([words.doc_of()[at], short]), shingles)
+
+
 def _fixed(rows: np.ndarray) -> pa.Array:
     """Each row of a matrix as one binary value."""
     size = rows.shape[1] * rows.itemsize
@@ -110,18 +148,20 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _signed(texts: DataFrame, width: int) -> DataFrame:
-    """``id, n, c1, c2, sig``: set size, the set's 128-bit hash (null for none) and signature."""
+    """``id, n, c1, c2, sig``: set size, the text's 128-bit digest (null for an empty set) and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         circulant = Circulant()
         for batch in steps(batches, 1):
             owner, shingles = shingle_sets(batch.column(1), width)
             n = np.bincount(owner, minlength=batch.num_rows)
-            edges = np.concatenate([[0], np.cumsum(n)])
-            c1, c2 = (pa.array(r.ranges(shingles, edges[:-1], edges[1:]).view(np.int64), mask=n == 0) for r in _CLASS)
+            data, offsets = column_bytes(batch.column(1))
+            raw, edges = memoryview(np.ascontiguousarray(data)), offsets.tolist()
+            digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            c1, c2 = (pa.array(c, mask=n == 0) for c in np.frombuffer(digests, "<i8").reshape(-1, 2).T)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), c1, c2, _fixed(circulant.signatures(owner, shingles, batch.num_rows))], names=["id", "n", "c1", "c2", "sig"])
 
-    return texts.mapInArrow(run, "id long, n long, c1 long, c2 long, sig binary")
+    return texts.mapInArrow(lean(run), "id long, n long, c1 long, c2 long, sig binary")
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -136,14 +176,26 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, "key long, id long")
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over ``a, b`` and both texts."""
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), schema)
+
+
+def _paired(batch: pa.RecordBatch) -> pa.Array:
+    """First and second texts of a batch of pairs, in one column."""
+    return pa.concat_arrays([batch.column(2), batch.column(3)])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose sets are similar enough."""
+    """The pairs ``a, b`` whose sets are similar enough, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in steps(batches, 2):
-            (own_a, sh_a), (own_b, sh_b) = (shingle_sets(batch.column(k), width) for k in (2, 3))
-            size = np.bincount(own_a, minlength=batch.num_rows) + np.bincount(own_b, minlength=batch.num_rows)
-            owner, shingles = np.concatenate([own_a, own_b]), np.concatenate([sh_a, sh_b])
+            owner, shingles = exact_sets(_paired(batch), width)
+            size = np.bincount(owner, minlength=2 * batch.num_rows).reshape(2, -1).sum(0)
+            owner = owner % batch.num_rows
             order = np.lexsort((shingles, owner))
             owner, shingles = owner[order], shingles[order]
             same = (owner[1:] == owner[:-1]) & (shingles[1:] == shingles[:-1])
@@ -151,76 +203,84 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             linked = pa.array((common > 0) & (100 * common >= percent * (size - common)))
             yield batch.select([0, 1]).filter(linked)
 
-    one = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return _with_texts(pairs, texts, run, "a long, b long")
 
 
-def _own_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """``id, own``: how many of a text's shingles no other text here has (texts without any are left out)."""
+def _distances(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """``a, b, apart, open``: of each pair, how many shingles only one of a and b has, and how many
+    of these stand in the difference of some other a from the same b, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 1):
-            owner, shingles = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), batch.column(0).take(pa.array(owner))], names=["shingle", "id"])
-
-    held = texts.mapInArrow(run, "shingle long, id long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
-    return held.filter("n = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        for batch in steps(batches, 2):
+            owner, shingles = shingle_sets(_paired(batch), width)
+            owner = owner % batch.num_rows
+            order = np.lexsort((shingles, owner))
+            owner, shingles = owner[order], shingles[order]
+            same = (owner[1:] == owner[:-1]) & (shingles[1:] == shingles[:-1])
+            alone = ~(np.append(same, False) | np.concatenate([[False], same]))[: len(owner)]
+            owner, shingles = owner[alone], shingles[alone].view(np.int64)
+            apart = np.bincount(owner, minlength=batch.num_rows)
+            ids = batch.column(0).to_numpy()
+            pair = pa.array(np.concatenate([owner, np.arange(batch.num_rows)]))
+            sums = np.concatenate([np.zeros(len(owner), np.int64), apart])
+            columns = [batch.column(0).take(pair), batch.column(1).take(pair), pa.array(np.concatenate([shingles, ids])), pa.array(sums), pa.array(np.arange(len(pair)) >= len(owner))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "shingle", "apart", "whole"])
+
+    # of each pair, a row for each shingle of its difference, and one for their number under the key a
+    rows = _with_texts(pairs, texts, run, "a long, b long, shingle long, apart long, whole boolean")
+    held = rows.groupBy("b", "whole", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("apart").alias("apart")).filter("whole or n = 1")
+    own = F.count_if(~F.col("whole"))
+    return held.groupBy("a", "b").agg(F.max("apart").alias("apart"), (F.max("apart") - own).alias("open"))
 
 
 def _unsettled(members: DataFrame) -> DataFrame:
-    """Members ``key, id, component`` of buckets with several components, with whether they are outside
-    the largest one (``few``) and the numbers of blocks for those and for all."""
+    """Members ``key, id, component`` of buckets with several components, with whether they are outside the largest one (``few``)."""
     tally = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    shape = shape.select("key", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("n_few"), F.ceil(F.col("all") / BLOCK).cast("int").alias("n_all"))
-    return checkpointed(members.join(shape, "key").withColumn("few", F.col("component") != F.col("main")))
+    shape = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return checkpointed(members.join(shape.select("key", F.col("main.component").alias("main")), "key").withColumn("few", F.col("component") != F.col("main")).drop("main"))
 
 
-def _near_misses(rows: DataFrame, signed: DataFrame, percent: int, best: int | None) -> DataFrame:
-    """Pairs ``a, b`` of members of one bucket in different components that may be similar enough.
+#: What a block says of the members that it compares: see ``_compared``.
+_Report = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[np.ndarray]]
 
-    In blocks: members outside the bucket's largest component against all. ``best``: only so many partners a member.
+
+def _compared(rows: DataFrame, signed: DataFrame, percent: int, floor: float, report: _Report, schema: str) -> DataFrame:
+    """What ``report(ids, x, y, alike, once)`` returns for members ``few`` of a bucket and its other members, of another component each.
+
+    x and y are places of pairs in ``ids`` whose signatures agree in ``floor`` at least and whose numbers ``near, far`` leave room
+    (with F = far of one and N = near of the other, F + N <= 0); once: the pair shares no earlier bucket.
     """
+    sizes = rows.groupBy("key").agg(F.count_if("few").alias("n_few"), F.count(F.lit(1)).alias("n_all")).filter("n_few > 0 and n_all > 1")
+    sizes = sizes.select("key", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_few", "n_all")])
+    rows = rows.join(sizes, "key")
     part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    asking = rows.filter("few").select("key", "id", "component", "few", part("n_few").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("q"), F.lit(True).alias("asks"))
-    asked = rows.select("key", "id", "component", "few", F.explode(F.sequence(F.lit(0), F.col("n_few") - 1)).alias("p"), part("n_all").alias("q"), F.lit(False).alias("asks"))
-    together = asking.unionByName(asked).join(signed, "id").select("key", "p", "q", "asks", "few", "id", "component", "n", "own", "sig")
-    limit = percent / 100
-    floor = limit - 4.5 * (limit * (1 - limit) / _COORDINATES) ** 0.5
-
-    def pairs_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        asks = batch.column(3).to_numpy(zero_copy_only=False)
-        ids, parts, n, own = (batch.column(k).to_numpy() for k in (5, 6, 7, 8))
-        few = batch.column(4).to_numpy(zero_copy_only=False)
+    columns = ("key", "id", "component", "few", "near", "far")
+    asking = rows.filter("few").select(*columns, part("n_few").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("q"), F.lit(True).alias("asks"))
+    asked = rows.select(*columns, F.explode(F.sequence(F.lit(0), F.col("n_few") - 1)).alias("p"), part("n_all").alias("q"), F.lit(False).alias("asks"))
+    together = asking.unionByName(asked).join(signed.select("id", "sig"), "id").select("key", "p", "q", "asks", "few", "id", "component", "near", "far", "sig")
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def block(batch: pa.RecordBatch) -> pa.RecordBatch:
+        asks, few = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
+        ids, parts, near, far = (batch.column(k).to_numpy() for k in (5, 6, 7, 8))
         signatures = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(-1, _COORDINATES)
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        apart = (parts[x][:, None] != parts[y]) & (~few[y] | (ids[x][:, None] < ids[y]))
-        most = np.minimum((n - own)[x][:, None], (n - own)[y])  # common shingles
-        apart &= 100 * most >= percent * (n[x][:, None] + n[y] - most)
-        i, j = np.nonzero(apart)
-        equal = signatures[x[i]] == signatures[y[j]]
-        alike = equal.mean(1)
-        near = alike >= floor
-        if best:
-            order = np.lexsort((-alike, i))
-            place = np.arange(len(order)) - np.searchsorted(i[order], i[order])
-            near[order[place >= best]] = False
-        i, j, equal, alike = i[near], j[near], equal[near], alike[near]
-        if best:
-            return ids[x[i]], ids[y[j]], alike
-        shared = equal.reshape(len(i), BANDS, ROWS).all(2)
-        key = batch.column(0)[0].as_py() if batch.num_rows else 0
-        mine = band_keys(signatures[x[i]]).view(np.int64) == key
-        once = mine.argmax(1) == shared.argmax(1)  # a pair counts in the first band that it shares
-        return ids[x[i[once]]], ids[y[j[once]]], alike[once]
+        open_ = (parts[x][:, None] != parts[y]) & (~few[y] | (ids[x][:, None] < ids[y]))
+        open_ &= (far[x][:, None] + near[y] <= 0) & (near[x][:, None] + far[y] <= 0)
+        i, j = np.nonzero(open_)
+        x, y = x[i], y[j]
+        alike = np.empty(len(x))
+        for at in range(0, len(x), 8192):
+            alike[at : at + 8192] = (signatures[x[at : at + 8192]] == signatures[y[at : at + 8192]]).mean(1)
+        close = alike >= floor
+        x, y, alike = x[close], y[close], alike[close]
+        shared = (signatures[x] == signatures[y]).reshape(len(x), BANDS, ROWS).all(2)
+        key = batch.column(0)[0].as_py()
+        once = (band_keys(signatures[x]).view(np.int64) == key).argmax(1) == shared.argmax(1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in report(ids, x, y, alike, once)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
-
-        def out(group: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in pairs_of(group)], names=["a", "b", "alike"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -230,16 +290,52 @@ def _near_misses(rows: DataFrame, signed: DataFrame, percent: int, best: int | N
             edges = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1
             at = 0
             for edge in edges.tolist():
-                yield out(whole.slice(at, edge - at))
+                yield block(whole.slice(at, edge - at))
                 at = edge
             waiting = [whole.slice(at)]
         if waiting:
-            yield out(waiting[0])
+            yield block(waiting[0])
+
+    return together.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(lean(run), schema)
+
+
+def _likely(rows: DataFrame, signed: DataFrame, percent: int, floor: float, best: int) -> DataFrame:
+    """Pairs ``a, b`` of members with the ``best`` most alike partners of each."""
+
+    def report(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray, once: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((-alike, x))
+        first = order[np.arange(len(order)) - np.searchsorted(x[order], x[order]) < best]
+        return [ids[x[first]], ids[y[first]], alike[first]]
+
+    free = rows.withColumns({"near": F.lit(0).cast("long"), "far": F.lit(0).cast("long")})
+    found = _compared(free, signed, percent, floor, report, "a long, b long, alike double").distinct()
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).filter(F.col("r") <= best)
+    return checkpointed(ranked.select("a", "b"))
 
-    found = together.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long, alike double").distinct()
-    if best:
-        found = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("alike"), "b"))).filter(F.col("r") <= best)
-    return checkpointed(found.select("a", "b"))
+
+def _doubtful(rows: DataFrame, signed: DataFrame, heads: DataFrame, texts: DataFrame, width: int, percent: int, floor: float) -> DataFrame:
+    """Pairs ``a, b`` of members in different components that may be similar enough, all of them."""
+
+    def members(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray, once: np.ndarray) -> list[np.ndarray]:
+        return [np.unique(ids[np.concatenate([x, y])])]
+
+    def pairs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, alike: np.ndarray, once: np.ndarray) -> list[np.ndarray]:
+        return [ids[x[once]], ids[y[once]]]
+
+    free = rows.withColumns({"near": F.lit(0).cast("long"), "far": F.lit(0).cast("long")})
+    doubtful = checkpointed(_compared(free, signed, percent, floor, members, "id long").distinct())
+    left = checkpointed(rows.join(doubtful, "id", "left_semi").join(heads.withColumnRenamed("b", "head"), "key"))
+    stars = left.filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    far = checkpointed(_distances(stars, texts, width)).withColumnsRenamed({"a": "id", "b": "head"})
+    known = left.join(far, ["id", "head"], "left").join(signed.select("id", "n"), "id").fillna(0, ["apart", "open"])
+    # with S the sum of both sizes, a link needs |x ^ y| <= S * (100 - percent) / (100 + percent)
+    size, weight = F.lit(100 - percent) * F.col("n"), F.lit(100 + percent)
+    known = known.select("key", "id", "component", "few", (weight * F.col("apart") - size).alias("far"), (weight * (F.col("apart") - 2 * F.col("open")) - size).alias("near"))
+    known = checkpointed(known)
+    least = known.groupBy("key").agg(F.min("far").alias("far_all"), F.min("near").alias("near_all"), F.min(F.when(F.col("few"), F.col("far"))).alias("far_few"), F.min(F.when(F.col("few"), F.col("near"))).alias("near_few"))
+    of = lambda c: F.when(F.col("few"), F.col(f"{c}_all")).otherwise(F.col(f"{c}_few"))
+    open_ = known.join(least, "key").filter((F.col("far") + of("near") <= 0) & (F.col("near") + of("far") <= 0)).select(*known.columns)
+    return checkpointed(_compared(checkpointed(open_), signed, percent, floor, pairs, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,26 +350,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     sizes = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = checkpointed(buckets.join(sizes, "key"))
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
-    heads = shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"), "id")).alias("head")).select("key", F.col("head.id").alias("b"))
+    heads = checkpointed(shared.join(weight, "id").groupBy("key").agg(F.max(F.struct("weight", -F.col("id"), "id")).alias("head")).select("key", F.col("head.id").alias("b")))
     pairs = shared.join(heads, "key").select(F.col("id").alias("a"), "b").filter("a != b").distinct()
     known = checkpointed(texts.join(weight.select("id"), "id", "left_semi"))
     links = checkpointed(_verified(pairs, known, width, percent))
     now = components(links)
-    for best in (3, 3, None):
+    limit = percent / 100
+    floor = limit - SIGMAS * (limit * (1 - limit) / _COORDINATES) ** 0.5
+    for last in (False, True):
         labels = now.withColumnRenamed("node", "id")
-        seen = shared.filter(F.pmod(F.xxhash64("key"), F.lit(4)) == 0) if best else shared
+        seen = shared if last else shared.filter(F.pmod(F.xxhash64("key"), F.lit(4)) == 0)
         rows = _unsettled(seen.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")))
         if rows.isEmpty():
             continue
-        few = rows.select("id").distinct()
-        signed_few = classes.select("id", "n", "sig").join(few, "id", "left_semi")
-        if best:
-            signed_few = signed_few.withColumn("own", F.lit(0).cast("long"))
-        else:
-            own = _own_shingles(known.join(few, "id", "left_semi"), width)
-            signed_few = signed_few.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
-        signed_few = checkpointed(signed_few.select("id", "n", "own", "sig"))
-        more = checkpointed(_verified(_near_misses(rows, signed_few, percent, best), known, width, percent))
+        signed_few = checkpointed(classes.select("id", "n", "sig").join(rows.select("id").distinct(), "id", "left_semi"))
+        found = _doubtful(rows, signed_few, heads, known, width, percent, floor) if last else _likely(rows, signed_few, percent, floor, BEST)
+        more = checkpointed(_verified(found, known, width, percent))
         if not more.isEmpty():
             now = components(now.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     of_class = classes.select("c1", "c2", F.col("id").alias("class_id"))

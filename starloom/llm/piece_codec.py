@@ -26,7 +26,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm.tokenizing import steps
+from starloom.llm._workers import steps
 
 SPACE = "▁"
 _MARK = SPACE.encode()

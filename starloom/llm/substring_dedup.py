@@ -8,15 +8,18 @@ Difference-cover anchors find the candidates. ``COVER`` is a difference cover mo
 positions. So two equal windows share an equal anchor, ``window - PERIOD + 1`` words
 long, at cover positions of both texts, and only anchors at cover positions (5 of
 21) are hashed and shuffled. Anchors found twice are extended: the windows that
-contain one, and only those, are compared by 96 bits of two independent digests of all their words.
+contain one, and only those, are compared by 128 bits, two independent hashes over all their
+words. (The words themselves don't travel: beside the texts, they'd take more room than
+the windows' hashes. Equal hashes of different windows are as unlikely as for any 128-bit hash.)
 
-Rows of equal text (by an 80-bit content key) are one text with several copies, which
+Rows of equal text (by 80 bits of hashes of its SHA-256) are one text with several copies, which
 all of its windows repeat; it is compared with others once.
 
 Skew: within a slice of texts a repeated anchor or window is known to repeat at
-once, and a single witness of it is shuffled, so a passage in a third of all texts
-sends one row for each slice of about 2 MB. Places found to repeat go back to their
-texts by that key. A text's places are bounded by its own length.
+once, runs of such windows go on as one row, and a single witness of each key is shuffled. So a passage in
+a third of all texts sends one row of some 24 bytes for each slice of about 2 MB; those of one key meet in a
+window, which spills. Places found to repeat go back to their texts by the content key. A
+text's places are bounded by its own length.
 
 Defined cases: a null text has no words; its kept text is empty. Rows that repeat a
 text, with the same id or not, are places of their own, so whole texts of ``window``
@@ -35,14 +38,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from starloom.llm._words import Rolling, Words, mix, split_words
-from starloom.llm.tokenizing import steps
+from starloom.llm._words import Hasher, Words, mix, split_words
+from starloom.llm._workers import steps
 
 #: A perfect difference set: each of 1..20 is the difference of two members modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 
-_WORD = Rolling(11), Rolling(12)
-_RANGE = Rolling(13), Rolling(14), Rolling(15)  # of anchors, and of windows
+_ANCHOR, _WINDOW = Hasher(11), (Hasher(12), Hasher(13))
 
 
 def _lines(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,24 +73,32 @@ def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _key(docs: DataFrame, text_col: str) -> list[Column]:
     """A text's content key, ``k`` and the 16 bits ``t``, and the text without nulls. None is null."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    return [F.xxhash64(text).alias("k"), F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
+    digest = F.sha2(text, 256)
+    return [F.xxhash64(digest).alias("k"), F.crc32(F.encode(digest, "UTF-8")).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
 
 
 #: Of ``flags``, from the lowest bit: known, twice, the place (46 bits), ``t``.
 _KNOWN, _TWICE, _T_BITS, _T_SHIFT = 1, 2, 16, 48
 #: Bits of an anchor's key that are kept (others only pass more candidates), and of the number that deals out known places.
 _ANCHOR_BITS, _DEALT_BITS = np.uint64(0xFFFFFFFFFFFF0000), np.uint64(0xFFFFFFFF00000000)
-_PLACES = {1: "a long, k long, flags long", 2: "a long, b int, k long, flags long"}
+_PLACES = {1: "a long, k long, flags long", 2: "a long, b long, k long, flags long"}
+#: Bits of a run of places that hold its first one; the higher ones hold how many there are.
+_RUN_SHIFT = 32
 
 
 def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: list[np.ndarray]) -> pa.RecordBatch:
-    """One witness row for each key, and a row for each place known to repeat already.
+    """One witness row for each key, and rows for the places known to repeat already.
 
-    Known places are not compared any more; their key only deals them out evenly. Zero bytes
-    stand together in a row, where the shuffle's compression takes them out.
+    Known places are not compared any more; their first key only deals them out evenly. With two keys, neighbours
+    among them make one row, whose second key is their number.
     """
     repeated, witness = _once(keys)
     known = np.flatnonzero(repeated)
+    sizes = np.ones(len(known), np.uint64)
+    if len(keys) == 2 and len(known):
+        first = np.flatnonzero(np.concatenate([[True], (doc[known[1:]] != doc[known[:-1]]) | (place[known[1:]] != place[known[:-1]] + 1)]))
+        sizes = np.diff(np.append(first, len(known))).astype(np.uint64)
+        known = known[first]
     rows = np.concatenate([witness, known])
     text = pa.array(doc[rows])
     flags = place[rows] * 4 + (batch.column(1).take(text).to_numpy() << _T_SHIFT)
@@ -97,13 +107,12 @@ def _places(batch: pa.RecordBatch, doc: np.ndarray, place: np.ndarray, keys: lis
     columns = [k[rows] for k in keys]
     columns[0][len(witness) :] = mix(columns[0][len(witness) :] + place[known].astype(np.uint64) + mix(doc[known].astype(np.uint64))) & _DEALT_BITS
     for c in columns[1:]:
-        c[len(witness) :] = 0
-    arrays = [pa.array(columns[0].view(np.int64)), *(pa.array(c.astype(np.uint32).view(np.int32)) for c in columns[1:])]
-    return pa.RecordBatch.from_arrays([*arrays, batch.column(0).take(text), pa.array(flags)], names=["a", "b"][: len(keys)] + ["k", "flags"])
+        c[len(witness) :] = sizes
+    return pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), batch.column(0).take(text), pa.array(flags)], names=["a", "b"][: len(keys)] + ["k", "flags"])
 
 
 def _repeated(places: DataFrame) -> DataFrame:
-    """``k, t, places``: of each text, the places whose key starts elsewhere too.
+    """``k, t, places``: of each text, the runs of places whose key starts elsewhere too.
 
     Witnesses of one key from several slices make each of them a repeated place; in
     slices that hold the key twice, the places are known.
@@ -113,19 +122,22 @@ def _repeated(places: DataFrame) -> DataFrame:
     is_twice = F.col("flags").bitwiseAND(F.lit(_TWICE)) > 0
     n = F.sum(F.when(is_known, 0).otherwise(1)).over(Window.partitionBy(*keys))
     found = places.withColumn("n", n).filter(is_known | ((F.col("n") > 1) & ~is_twice))
-    place = F.shiftright("flags", 2).bitwiseAND(F.lit((1 << _T_SHIFT - 2) - 1)).cast("int")
-    return found.groupBy("k", F.shiftrightunsigned("flags", _T_SHIFT).alias("t")).agg(F.collect_list(place).alias("places"))
+    place = F.shiftright("flags", 2).bitwiseAND(F.lit((1 << _T_SHIFT - 2) - 1))
+    size = F.when(is_known, F.col("b")).otherwise(1) if len(keys) == 2 else F.lit(1)
+    run = place + F.shiftleft(size.cast("long"), _RUN_SHIFT)
+    return found.groupBy("k", F.shiftrightunsigned("flags", _T_SHIFT).alias("t")).agg(F.collect_list(run).alias("places"))
 
 
 def _marked(words: Words, places: pa.Array, before: int, after: int) -> np.ndarray:
-    """How many ranges [place - before, place + after] cover each word; a list of places for each text."""
+    """How many ranges [first - before, last + after] cover each word; a list of runs of places for each text."""
     flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    first, last = flat & ((1 << _RUN_SHIFT) - 1), (flat & ((1 << _RUN_SHIFT) - 1)) + (flat >> _RUN_SHIFT) - 1
     sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(len(places)), sizes)
     low, high = words.first[text], words.first[text + 1]
     change = np.zeros(len(words.starts) + 1, np.int64)
-    np.add.at(change, np.maximum(flat + low - before, low), 1)
-    np.add.at(change, np.minimum(flat + low + after + 1, high), -1)
+    np.add.at(change, np.maximum(first + low - before, low), 1)
+    np.add.at(change, np.minimum(last + low + after + 1, high), -1)
     return np.cumsum(change)[:-1]
 
 
@@ -145,7 +157,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
             chosen = in_cover[place % PERIOD] & (np.diff(words.first)[doc] >= window)
             at, doc, place = at[chosen], doc[chosen], place[chosen]
             if len(at):
-                a = _RANGE[0].ranges(words.hashes(_WORD[0]), at, at + anchor) & _ANCHOR_BITS
+                a = _ANCHOR.windows(words.hashes(_ANCHOR), anchor)[at] & _ANCHOR_BITS
                 yield _places(batch, doc, place, [a])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -155,9 +167,7 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
             holds = _marked(words, batch.column(4), PERIOD - 1, 0) > 0
             at, doc = at[holds[at]], doc[holds[at]]
             if len(at):
-                first, second = words.hashes(_WORD[0]), words.hashes(_WORD[1])
-                a = _RANGE[1].ranges(first, at, at + window)
-                b = _RANGE[2].ranges(second, at, at + window) >> np.uint64(32)
+                a, b = (h.windows(words.hashes(h), window)[at] for h in _WINDOW)
                 yield _places(batch, doc, at - words.first[doc], [a, b])
 
     # all uses of ``texts`` take all its columns, so that its exchange is written once and reused

@@ -17,7 +17,7 @@ bit first, padded to 64 bytes) and the rank directory (64-bit).
 are what reaches any shared store; ``save`` and ``load`` do the same for local files.
 
 Defined cases: null text is empty (the end id alone); null ids come first; rows
-with equal ids are ordered by text; an empty table gives no image and no rows.
+with equal ids are ordered by a hash of their text, then by text; an empty table gives no image and no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.tokenizing import encoder, steps
+from starloom.llm._workers import lean, steps
+from starloom.llm.tokenizing import ENCODE_BYTES, encoder
 
 MAGIC, BLOCK = b"SLTC", 512
 _CHUNK = {8: "<u1", 16: "<u2"}
@@ -89,32 +90,37 @@ class Image:
     def __getitem__(self, i: int) -> int:
         if not 0 <= i < self.n_tokens:
             raise IndexError(i)
-        value, shift = 0, 0
-        for chunks, bitmap, directory in self.levels:
-            value |= int(chunks[i]) << shift
-            byte, bit = divmod(i, 8)
-            if not bitmap[byte] >> bit & 1:
+        return int(self.tokens(i, i + 1)[0])
+
+    def _rank(self, level: int, i: int) -> int:
+        """Set bits of a level's bitmap before position i: a directory entry and a popcount within its block."""
+        _, bitmap, directory = self.levels[level]
+        block, (byte, bit) = i // BLOCK, divmod(i, 8)
+        out = int(directory[block]) + int(np.bitwise_count(bitmap[block * BLOCK // 8 : byte]).sum())
+        return out + (int(bitmap[byte] & ((1 << bit) - 1)).bit_count() if bit else 0)
+
+    def tokens(self, a: int, b: int) -> np.ndarray:
+        """The ids at positions a to b, as unsigned 32-bit numbers; nothing before or after is decoded.
+
+        The next chunks of neighbours are neighbours, too, so one rank finds those of all.
+        """
+        if not 0 <= a <= b <= self.n_tokens:
+            raise IndexError((a, b))
+        out = np.zeros(b - a, "<u4")
+        who = np.arange(b - a)
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
+            out[who] |= chunks[a : a + len(who)].astype("<u4") << np.uint32(k * self.bits)
+            goes_on = np.unpackbits(bitmap[a // 8 : -(-(a + len(who)) // 8)], bitorder="little")[a % 8 : a % 8 + len(who)].astype(bool)
+            following = who[goes_on]
+            if not len(following):
                 break
-            block = i // BLOCK
-            first = block * BLOCK // 8
-            inside = int(np.bitwise_count(bitmap[first:byte]).sum()) + int(bitmap[byte] & ((1 << bit) - 1)).bit_count()
-            i, shift = int(directory[block]) + inside, shift + self.bits
-        return value
-
-    def all(self) -> np.ndarray:
-        """All ids, as unsigned 32-bit numbers."""
-        below = np.zeros(0, np.uint64)
-        for chunks, bitmap, _ in reversed(self.levels):
-            value = chunks.astype(np.uint64)
-            value[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)] |= below << np.uint64(self.bits)
-            below = value
-        return below.astype("<u4")
+            a, who = self._rank(k, a), following
+        return out
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Document id, start in this image, ids."""
-        ids = self.all()
+        """Document id, start in this image, ids; each document is read at its own place."""
         for doc, a, b in zip(self.doc_ids, self.starts[:-1].tolist(), self.starts[1:].tolist(), strict=True):
-            yield doc, a, ids[a:b]
+            yield doc, a, self.tokens(a, b)
 
 
 def save(path: str, image: bytes) -> None:
@@ -125,10 +131,16 @@ def load(path: str) -> Image:
     return Image(Path(path).read_bytes())
 
 
+#: Bytes of text for one task of the writer.
+TASK_BYTES = 64_000_000
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_tokens: int = 1_000_000, bits: int = 8, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and store their images under ``path`` in ascending id order.
 
-    Rows are ``part, shard, n_tokens, image``; (part, shard) is the order.
+    Rows are ``part, shard, inside, n_tokens, image``: (part, shard) is the order, inside counts
+    the part's ids before. Rows of one id are dealt out by their texts' hash, so an id that many
+    rows have (or lack) fills several parts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
@@ -136,18 +148,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_to
         end = np.array([end_id], "<u4")
         docs_of: list[int | None] = []
         ids_of: list[np.ndarray] = []
-        total = shard = 0
+        total = shard = inside = 0
 
         def image() -> pa.RecordBatch:
-            nonlocal docs_of, ids_of, total, shard
-            out = pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([total], pa.int64()), pa.array([encode_image(docs_of, ids_of, bits)], pa.binary())], names=["shard", "n_tokens", "image"])
-            docs_of, ids_of, total, shard = [], [], 0, shard + 1
-            return out
-
-        for part in steps(batches, 1):
-            for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
+            nonlocal docs_of, ids_of, total, shard, inside
+            columns = [pa.array([x], pa.int64()) for x in (shard, inside, total)] + [pa.array([encode_image(docs_of, ids_of, bits)], pa.binary())]
+            docs_of, ids_of, total, shard, inside = [], [], 0, shard + 1, inside + total
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "inside", "n_tokens", "image"])
+
+        for part in steps(batches, 1, ENCODE_BYTES):
+            ids, edges = encode(part.column(1))
+            for doc, a, b in zip(part.column(0).to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 docs_of.append(doc)
-                ids_of.append(np.concatenate([np.frombuffer(ids, "<u4"), end]))
+                ids_of.append(np.concatenate([ids[a:b], end]))
                 total += len(ids_of[-1])
                 if total >= shard_tokens:
                     yield image()
@@ -156,22 +169,24 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_to
 
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    images = ordered.mapInArrow(run, "shard long, n_tokens long, image binary")
-    images.select(F.spark_partition_id().alias("part"), "shard", "n_tokens", "image").write.parquet(path)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES), 1)
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
+    images = ordered.mapInArrow(run, "shard long, inside long, n_tokens long, image binary")
+    images.select(F.spark_partition_id().alias("part"), "shard", "inside", "n_tokens", "image").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` from stored images; start counts the ids of all documents before."""
-    images = spark.read.schema("part int, shard long, n_tokens long, image binary").parquet(path)
-    sizes = images.select("part", "shard", "n_tokens")
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    within = sizes.select("part", "shard", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)).alias("inside"))
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each partition of the writer
+    """``doc_id, start, n_tokens, ids_crc32`` from stored images; start counts the ids of all documents before.
+
+    Only the number of ids before each part is broadcast: one row for each task of the writer.
+    """
+    images = spark.read.schema("part int, shard long, inside long, n_tokens long, image binary").parquet(path)
+    parts = images.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = images.join(within.join(bases, "part").select("part", "shard", (F.col("base") + F.col("inside")).alias("base")), ["part", "shard"]).select("base", "image")
+    placed = images.join(F.broadcast(bases), "part").select((F.col("base") + F.col("inside")).alias("base"), "image")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
@@ -180,4 +195,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids_crc32 long")

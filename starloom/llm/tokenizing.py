@@ -1,97 +1,166 @@
-"""Token ids of whole texts by the tokenizers library, with a memo of text chunks.
+"""Token ids of whole texts by the tokenizers library, with a memo of text cuts.
 
 A byte-level BPE never merges across its pre-tokens. Some of the places between
 pre-tokens can be told without its pattern: before a single space that precedes a
-non-space character, around longer runs of white space, and between a letter or
-digit and a following character that is neither those, an underscore nor space. A
+non-space character, around longer runs of white space, and between an ASCII letter or
+digit and a following ASCII character that is neither those, an underscore nor space. A
 text may be cut there, and the ids of the cuts, put together, are the ids of the
-text. Cuts repeat all the time: each distinct one is encoded once for a worker.
+text. Cuts repeat all the time: the distinct ones of a slice are found by Arrow, which
+compares their bytes, and each is encoded once.
 
-A cut of letters with at most a space before it is one pre-token and goes to the
-library's model at once; other cuts go through the whole tokenizer. Texts with
-characters that regular expression engines may or may not call white space are
-encoded whole.
+All cuts go through the whole tokenizer. Texts with characters that regular expression engines may or may not call white space, and those
+that hold white space beyond ASCII, are one cut.
+
+A worker's memo holds cuts of at most ``LONG_CUT`` bytes, and ``MEMO_ENTRIES`` of them
+besides those of the current slice, so its memory is bounded whatever the texts are.
 """
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
 import struct
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Cuts kept in a worker's memory; it starts anew when they are more.
-MEMO_ENTRIES = 1_000_000
-#: Bytes of text that are worked on at a time.
-STEP_BYTES = 2_000_000
-
-_CUT = re.compile(r" ?[^\W_]+(?=[^\w\s])| ?\S+|\s+(?=\s\S)|\s+")
-_LETTERS = re.compile("(?: ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)")
-_DISPUTED = re.compile("[\x1c-\x1f\x85᠎​﻿]")
-
-
-def _byte_letters() -> dict[int, str]:
-    """The public byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = (b for b in range(256) if b not in plain)
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+from starloom.llm._workers import column_bytes, only
+
+MEMO_ENTRIES, LONG_CUT = 400_000, 64
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 4_000_000
+
+#: Single pre-tokens: letters (up to U+024F), with at most a space before them.
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch
+#: The public byte-level alphabet: printable bytes stand for themselves, the rest follow from 256 on. Line feeds are left as they are.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN) if b != 10}
+
+#: Bits of a byte's class.
+_BLANK, _WHITE, _WORD, _MARK, _ODD = 1, 2, 4, 8, 16
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[:128] = _MARK
+_CLASS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _WORD
+_CLASS[ord("_")] = 0
+_CLASS[9:14] = _WHITE
+_CLASS[32] = _BLANK | _WHITE
+_CLASS[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = _ODD
+#: White space beyond ASCII and characters about which engines disagree, by their UTF-8 bytes.
+_DISPUTED = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1(?:\x9a\x80|\xa0\x8e)|\xe2(?:\x80[\x80-\x8f\xa8\xa9\xaf]|\x81[\x9f\xa0])|\xe3\x80\x80|\xef\xbb\xbf")
+
+
+def cut_starts(data: np.ndarray, offsets: np.ndarray, added: Sequence[bytes] = ()) -> np.ndarray:
+    """Where cuts of the texts ``data[offsets[k]:offsets[k + 1]]`` start; none spans two texts.
+
+    Texts that hold one of ``added`` aren't cut.
+    """
+    kind = _CLASS[data]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    white = (kind & _WHITE) > 0
+    starts = np.zeros(len(data), bool)
+    if len(data) > 1:
+        here, before = white[1:], white[:-1]
+        ends_run = np.ones(len(here), bool)  # the next byte is no white space and of the same text
+        ends_run[:-1] = ~white[2:] & ~edge[2:-1]
+        ends_run[-1] = False
+        starts[1:] = here & (~before | ends_run)
+        starts[1:] |= ~here & before & ((kind[:-1] & _BLANK) == 0)
+        starts[1:] |= ((kind[1:] & _MARK) > 0) & ((kind[:-1] & _WORD) > 0)
+    raw = memoryview(np.ascontiguousarray(data))
+    odd = np.flatnonzero(kind & _ODD)
+    for k in np.unique(np.searchsorted(offsets, odd, "right") - 1).tolist():
+        low, high = offsets[k : k + 2].tolist()
+        if _DISPUTED.search(raw[low:high]):
+            starts[low:high] = False
+    for token in added:
+        for found in re.finditer(re.escape(token), raw):
+            k = int(np.searchsorted(offsets, found.start(), "right")) - 1
+            starts[offsets[k] : offsets[k + 1]] = False
+    starts[first] = True
+    return np.flatnonzero(starts)
 
 
 class MemoEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of the texts of a column, as unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.letters = _byte_letters()
-        self.memo: dict[str, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.memo: dict[bytes, int] = {}
+        self.pool, self.sizes, self.places = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
 
-    def _learn(self, cuts: Iterable[str]) -> None:
-        memo, letters, tokenize, single = self.memo, self.letters, self.model.tokenize, _LETTERS.fullmatch
-        other = []
-        for c in cuts:
-            if single(c):
-                found = tokenize(c.encode().decode("latin-1").translate(letters))
-                memo[c] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            else:
-                other.append(c)
-        memo.update(zip(other, self.whole(other), strict=True))
-
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        cuts = [None if _DISPUTED.search(t) else _CUT.findall(t) for t in texts]
-        new = set().union(*filter(None, cuts))
-        if len(self.memo) + len(new.difference(self.memo)) > MEMO_ENTRIES:
-            self.memo.clear()
-        if len(new) > MEMO_ENTRIES:
-            return self.whole(texts)
-        self._learn(new.difference(self.memo))
-        get = self.memo.__getitem__
-        return [self.whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cuts, strict=True)]
-
-
-@functools.cache
+    def _ids(self, cuts: Sequence[bytes]) -> list[bytes]:
+        """Ids of each cut, as little-endian unsigned 32-bit numbers."""
+        out = [b""] * len(cuts)
+        single = [k for k, c in enumerate(cuts) if _LETTERS(c)]
+        spelled = b"\n".join([cuts[k] for k in single]).decode("latin-1").translate(_ALPHABET).split("\n") if single else []
+        for k, found in zip(single, map(self.model.tokenize, spelled), strict=True):
+            out[k] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        other = [k for k, ids in enumerate(out) if not ids]
+        for k, ids in zip(other, self.whole([cuts[k].decode() for k in other]), strict=True):
+            out[k] = ids
+        return out
+
+    def _add(self, ids: list[bytes]) -> None:
+        """Append the ids of some cuts to the pool."""
+        new = np.array([len(x) // 4 for x in ids], np.int64)
+        self.places = np.concatenate([self.places, len(self.pool) + np.cumsum(new) - new])
+        self.sizes = np.concatenate([self.sizes, new])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one more for the end)."""
+        data, offsets = column_bytes(column)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts = cut_starts(data, offsets, self.added)
+        edges = np.append(starts, len(data)).astype(np.int64)
+        kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+        cuts = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(edges.astype(width)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        raw, where = column_bytes(cuts.dictionary)
+        raw, where = raw.tobytes(), where.tolist()
+        distinct = [raw[a:b] for a, b in itertools.pairwise(where)]
+        codes = np.fromiter(map(self.memo.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
+        if len(self.memo) > MEMO_ENTRIES:  # keep what this slice uses
+            known = np.flatnonzero(codes >= 0)
+            kept = [self.pool[a : a + n].tobytes() for a, n in zip(self.places[codes[known]].tolist(), self.sizes[codes[known]].tolist(), strict=True)]
+            self._empty()
+            self._add(kept)
+            self.memo = {distinct[k]: j for j, k in enumerate(known.tolist())}
+            codes[known] = np.arange(len(known))
+        missing = np.flatnonzero(codes < 0)
+        held = len(self.sizes)
+        if len(missing):
+            words = [distinct[k] for k in missing.tolist()]
+            codes[missing] = held + np.arange(len(words))
+            places, sizes, pool = self.places, self.sizes, self.pool
+            self._add(self._ids(words))
+            if max(map(len, words)) <= LONG_CUT:
+                self.memo.update(zip(words, codes[missing].tolist(), strict=True))
+        picked = codes[cuts.indices.to_numpy()]
+        sizes_of = self.sizes[picked]
+        ends = np.cumsum(sizes_of)
+        ids = self.pool[np.repeat(self.places[picked] - (ends - sizes_of), sizes_of) + np.arange(ends[-1])]
+        if len(missing) and max(map(len, words)) > LONG_CUT:  # long ones are not kept
+            short = [j for j, w in enumerate(words) if len(w) <= LONG_CUT]
+            kept = [self.pool[a : a + n].tobytes() for a, n in zip(self.places[held:][short].tolist(), self.sizes[held:][short].tolist(), strict=True)]
+            self.places, self.sizes, self.pool = places, sizes, pool
+            self._add(kept)
+            self.memo.update((words[j], held + i) for i, j in enumerate(short))
+        total = np.concatenate([[0], ends])
+        return ids, total[np.searchsorted(starts, offsets)]
+
+
 def encoder(path: str) -> MemoEncoder:
-    return MemoEncoder(path)
-
-
-def steps(batches: Iterable[pa.RecordBatch], text: int, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about ``most`` bytes of text; a longer text stands alone."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(text)
-        offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
-        offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        first = 0
-        while first < batch.num_rows:
-            last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-            last = min(max(last, first + 1), batch.num_rows)
-            yield batch.slice(first, last - first)
-            first = last
+    return only(("tokens", path), lambda: MemoEncoder(path))
