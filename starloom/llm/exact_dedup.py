@@ -1,16 +1,15 @@
-"""Exact deduplication: 128-bit content hash groups, checked byte by byte.
-
-Rows are grouped by the MD5 of their text. A group keeps one row, by default the
-one with the largest id (``keep="min"`` keeps the smallest). While grouping, the
-smallest and the largest text of each group are carried as aggregates: they are
-equal exactly if all texts of the group are, which is a byte comparison that
-combines before the shuffle, so that a text copied a billion times sends one row
-a task. Groups in which they differ (hash collisions) are grouped anew by text.
-
-Defined cases: a null text counts as empty. A null id is smaller than any other
-id and stays only if the whole group has none. Rows that repeat both id and text
-are one document: ``label_copies`` says the same of each, ``keep_one`` returns one.
-An empty table gives an empty result. Other columns are never looked at.
+"""Exact deduplication: 128-bit content hash groups, compared byte by byte.
+
+Rows are grouped by the MD5 of their text and, within a hash, by the text itself: Spark
+finds a row's group by the hash and compares bytes there, so texts with clashing hashes
+are groups of their own. Each text is sent once, after the copies of a task are combined, so
+that a text copied a billion times sends one row a task. A group keeps one row, by default the
+one with the largest id (``keep="min"`` keeps the smallest).
+
+Defined cases: a null text counts as empty. A null id stays only if the whole group has none.
+Rows that repeat both id and text are one document: ``label_copies`` says the same of each, ``keep_one``
+returns one, the last (first) by its other columns in their order, which must be of types that can be ordered. An
+empty table gives an empty result. Columns besides id and text may have any name.
 """
 
 from __future__ import annotations
@@ -20,8 +19,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.session import checkpointed
-
 Digest = Callable[[Column], Column]
 
 
@@ -33,55 +30,26 @@ def _text(docs: DataFrame, text_col: str) -> Column:
     return F.coalesce(docs[text_col], F.lit(""))
 
 
-def content_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest: Digest = md5_digest) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal texts: ``(h, keep_id, group_size)`` for the hashes of one
-    text, and ``(h, content, keep_id, group_size)`` for the hashes of several."""
-    best = {"max": F.max, "min": F.min}[keep]
-    text = _text(docs, text_col)
-    rows = docs.select(digest(text).alias("h"), docs[id_col].alias("id"), text.alias("content"))
-    groups = checkpointed(
-        rows.groupBy("h")
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), (F.min("content") != F.max("content")).alias("clash"))
-    )
-    clean = groups.filter(~F.col("clash")).drop("clash")
-    clashing = groups.filter("clash").select("h")
-    if clashing.isEmpty():
-        split = rows.filter(F.lit(False)).select("h", "content", F.col("id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"))
-    else:
-        split = rows.join(clashing, "h", "left_semi").groupBy("h", "content").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return clean, split
-
-
-def _clashes(split: DataFrame) -> bool:
-    return not split.isEmpty()
-
-
 def label_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest: Digest = md5_digest) -> DataFrame:
-    """One row per input row: ``id, keep_id, group_size, kept, text_sha256``."""
-    clean, split = content_groups(docs, id_col, text_col, keep, digest)
+    """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
+
+    Rows find their group by both digests, so texts don't move a second time.
+    """
+    best = {"max": F.max, "min": F.min}[keep]
     text = _text(docs, text_col)
-    rows = docs.select(docs[id_col].alias("id"), digest(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
-    found = rows.join(clean, "h")
-    columns = ("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    out = found.select(*columns)
-    if _clashes(split):
-        more = docs.select(docs[id_col].alias("id"), digest(text).alias("h"), text.alias("content"), F.sha2(text, 256).alias("text_sha256")).join(split, ["h", "content"])
-        out = out.unionByName(more.select(*columns))
-    return out
+    rows = docs.select(digest(text).alias("h"), text.alias("content"), docs[id_col].alias("id"))
+    groups = rows.groupBy("h", "content").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = groups.select("h", F.sha2("content", 256).alias("text_sha256"), "keep_id", "group_size")
+    each = docs.select(docs[id_col].alias("id"), digest(text).alias("h"), F.sha2(text, 256).alias("text_sha256"))
+    return each.join(groups, ["h", "text_sha256"]).select("id", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", digest: Digest = md5_digest) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    clean, split = content_groups(docs, id_col, text_col, keep, digest)
-    text = _text(docs, text_col)
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    rows = docs.select(row, docs[id_col].alias("id"), digest(text).alias("h"), text.alias("content"))
-
-    def stay(part: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-        chosen = groups.select(*keys, F.col("keep_id"))
-        on = [part[k] == chosen[k] for k in keys] + [part["id"].eqNullSafe(chosen["keep_id"])]
-        joined = part.join(chosen, on).select(part["row"], part["h"], part["id"], part["content"])
-        return joined.dropDuplicates(["h", "id", *keys[1:]]).select("row.*")
-
-    out = stay(rows, clean, ["h"])
-    return out.unionByName(stay(rows, split, ["h", "content"])) if _clashes(split) else out
+    text, number = _text(docs, text_col), docs[id_col]
+    best, known = (F.max, number.isNotNull()) if keep == "max" else (F.min, number.isNull())
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(known.alias("k"), number.alias("i"), F.struct(*[docs[c] for c in others]).alias("o"), docs[text_col].isNull().alias("none"))
+    kept = docs.select(digest(text).alias("h"), text.alias("content"), row.alias("row")).groupBy("h", "content").agg(best("row").alias("row"))
+    whole = {text_col: F.when(~F.col("row.none"), F.col("content"))}
+    return kept.select(*[whole.get(c, F.col("row.o").getField(c)).alias(c) for c in docs.columns])

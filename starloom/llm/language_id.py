@@ -24,7 +24,6 @@ The score is 1 - best / second best cross entropy, 1 if only one language is kno
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import steps
+from starloom.llm._workers import only, steps
 
 UNKNOWN = "und"
 SYMBOLS, SEGMENT = 64, 256
@@ -142,9 +141,8 @@ class Model:
         return said, score
 
 
-@functools.lru_cache(maxsize=2)
 def _compiled(model: Model) -> tuple[list[str], list[Reference]]:
-    return [name for name, _ in model.samples], [Reference(pieces) for _, pieces in model.samples]
+    return only(model, lambda: ([name for name, _ in model.samples], [Reference(pieces) for _, pieces in model.samples]))
 
 
 def held_out(id_col: Column) -> Column:

@@ -16,7 +16,6 @@ rows and null ids give a row each. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import steps
+from starloom.llm._workers import only, steps
 
 SPACE = "▁"
 _MARK = SPACE.encode()
@@ -193,9 +192,8 @@ class PieceCodec:
         return self.library.decode(ids)
 
 
-@functools.cache
 def codec(path: str) -> PieceCodec:
-    return PieceCodec(path)
+    return only(("pieces", path), lambda: PieceCodec(path))
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from starloom.llm._words import Hasher, Words, mix, split_words
-from starloom.llm._workers import steps
+from starloom.llm._workers import lean, steps
 
 #: A perfect difference set: each of 1..20 is the difference of two members modulo 21.
 PERIOD, COVER = 21, (0, 1, 4, 14, 16)
@@ -171,9 +171,9 @@ def repeated_windows(docs: DataFrame, window: int = 35, text_col: str = "text")
                 yield _places(batch, doc, at - words.first[doc], [a, b])
 
     # all uses of ``texts`` take all its columns, so that its exchange is written once and reused
-    shared = _repeated(texts.mapInArrow(anchors, _PLACES[1]))
+    shared = _repeated(texts.mapInArrow(lean(anchors), _PLACES[1]))
     candidates = texts.join(shared, ["k", "t"]).select("k", "t", "text", "copies", "places")
-    return texts, _repeated(candidates.mapInArrow(windows, _PLACES[2]))
+    return texts, _repeated(candidates.mapInArrow(lean(windows), _PLACES[2]))
 
 
 def _cut(docs: DataFrame, window: int, text_col: str) -> DataFrame:
@@ -189,7 +189,7 @@ def _cut(docs: DataFrame, window: int, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(lost), join_words(words, ~gone)], names=["k", "t", "n_words", "n_removed", "kept_text"])
 
     rows = texts.join(found, ["k", "t"], "left").select("k", "t", "text", "copies", "places")
-    return rows.mapInArrow(cut, "k long, t long, n_words long, n_removed long, kept_text string")
+    return rows.mapInArrow(lean(cut), "k long, t long, n_words long, n_removed long, kept_text string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -221,7 +221,7 @@ def without_repeats(docs: DataFrame, window: int = 35, text_col: str = "text", l
             text = pc.if_else(changed, join_words(words, ~gone), batch.column(2).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(5), text, changed], names=["row", "text", "changed"])
 
-    out = joined.mapInArrow(cut, schema)
+    out = joined.mapInArrow(lean(cut), schema)
     text = F.when(~F.col("row._none"), F.col("text"))
     new = {text_col: text}
     if length_col in docs.columns:

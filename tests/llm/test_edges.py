@@ -66,7 +66,7 @@ def test_substring_dedup(odd, empty):
 
 def test_search(odd, empty):
     asked = odd.filter("doc_id in (4, 6, 1)").select(F.col("doc_id").alias("query_id"), "text")
-    got = [(r.query_id, r["rank"], r.doc_id) for r in bm25.search(odd, asked, k=3, shard_docs=4, query_block=2).collect()]
+    got = [(r.query_id, r["rank"], r.doc_id) for r in bm25.search(odd, asked, k=3, shard_docs=4).collect()]
     assert sorted(x for x in got if x[0] == 4) == [(4, 1, 4), (4, 2, 5), (4, 3, 5)]
     assert [x[2] for x in sorted(got) if x[0] == 6] == [6, 7] and not [x for x in got if x[0] == 1]
     assert bm25.search(empty, asked).count() == 0 and bm25.search(odd, asked.limit(0)).count() == 0
