@@ -14,7 +14,7 @@ case; with fewer words the whole sequence is one shingle. Documents are linked i
    their words, not by hashes.
 3. Two members of a bucket that are still in different components may be linked
    yet. Each member outside its bucket's largest component meets all others of a quarter of the
-   buckets, in blocks of 256 signatures, and its three most alike partners are verified. That
+   buckets, in blocks of 1024 signatures, and its three most alike partners are verified. That
    joins most of those that belong together.
 4. Then, in all buckets, members with a partner in another component whose signature agrees
    within ``SIGMAS`` standard errors of the limit are doubtful. How far each is from its bucket's head
@@ -49,7 +49,9 @@ from starloom.session import checkpointed
 
 BANDS, ROWS = 51, 5
 UNIVERSE_BITS = 20
-BLOCK = 256
+BLOCK = 1024
+#: Pairs that are compared at a time.
+_PAIRS = 8192
 #: How many standard errors below the limit a signature's agreement may be; beyond, one in some 10^8 linked pairs is lost.
 SIGMAS = 6
 #: How many partners a member tries at a time before all that are left are looked at.
@@ -269,14 +271,17 @@ def _compared(rows: DataFrame, signed: DataFrame, percent: int, floor: float, re
         open_ &= (far[x][:, None] + near[y] <= 0) & (near[x][:, None] + far[y] <= 0)
         i, j = np.nonzero(open_)
         x, y = x[i], y[j]
-        alike = np.empty(len(x))
-        for at in range(0, len(x), 8192):
-            alike[at : at + 8192] = (signatures[x[at : at + 8192]] == signatures[y[at : at + 8192]]).mean(1)
-        close = alike >= floor
-        x, y, alike = x[close], y[close], alike[close]
-        shared = (signatures[x] == signatures[y]).reshape(len(x), BANDS, ROWS).all(2)
         key = batch.column(0)[0].as_py()
-        once = (band_keys(signatures[x]).view(np.int64) == key).argmax(1) == shared.argmax(1)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
+        for at in range(0, len(x), _PAIRS):
+            one, two = x[at : at + _PAIRS], y[at : at + _PAIRS]
+            equal = signatures[one] == signatures[two]
+            alike = equal.mean(1)
+            close = alike >= floor
+            one, two, shared = one[close], two[close], equal[close].reshape(-1, BANDS, ROWS).all(2)
+            once = (band_keys(signatures[one]).view(np.int64) == key).argmax(1) == shared.argmax(1)
+            found.append((one, two, alike[close], once))
+        x, y, alike, once = (np.concatenate(c) for c in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in report(ids, x, y, alike, once)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
