@@ -71,10 +71,11 @@ def _once(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(docs: DataFrame, text_col: str) -> list[Column]:
-    """A text's content key, ``k`` and the 16 bits ``t``, and the text without nulls. None is null."""
+    """A text's content key, ``k`` and the 16 bits ``t``, and the text without nulls. None is null, and Spark is to
+    know that: filters for nulls on one side of a join would make exchanges of the texts differ."""
     text = F.coalesce(docs[text_col], F.lit(""))
     digest = F.sha2(text, 256)
-    return [F.xxhash64(digest).alias("k"), F.crc32(F.encode(digest, "UTF-8")).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
+    return [F.xxhash64(digest).alias("k"), F.coalesce(F.crc32(F.encode(digest, "UTF-8")), F.lit(0)).bitwiseAND(F.lit((1 << _T_BITS) - 1)).alias("t"), text.alias("text")]
 
 
 #: Of ``flags``, from the lowest bit: known, twice, the place (46 bits), ``t``.
