@@ -5,12 +5,17 @@ which shorter conversations are prefixes of longer ones. Each turn gets a rollin
 hash of all turns up to it: two 64-bit XOR accumulations, over a window, of
 hashes of (position, role, text). As the position is hashed too, order counts.
 A conversation of n turns is a snapshot if its last hash is the hash at turn n of
-a longer conversation: an anti-join on (n, hash) retains the maximal ones. Of
+a longer conversation: an anti-join on (n, hash) retains the others. Of
 conversations equal in all turns the smallest id stays.
 
-All of it is DataFrame operations. Prefix hashes are deduplicated with map-side
-combine before the join, so that a first turn shared by a third of all
-conversations is one row.
+Hashes are confirmed on turns: at each n, all conversations with one hash must have one role and text
+there. If the nth turns are equal, so are the hashes at n - 1, and so on down to the first turn; so where no
+hash stands for two turns, equal hashes mean equal conversations. Otherwise everything is hashed anew with
+another salt.
+
+All of it is DataFrame operations. Prefix hashes and turns are deduplicated with map-side
+combine before shuffles, so that a first turn shared by a third of all
+conversations is one row a task.
 
 Defined cases: turns are ordered by ``turn`` (nulls first), then role and text, so
 ties and repeated rows have a fixed order. A null role or text differs from an
@@ -29,16 +34,16 @@ from starloom.session import checkpointed
 TURN_OPEN, TURN_CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """``conv_id, n, ha, hb``: at each turn, its position from 1 and the rolling hash pair."""
+def prefix_hashes(turns: DataFrame, salt: int = 0) -> DataFrame:
+    """Turns with ``n, ha, hb``: their position from 1 and the rolling hash pair."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     content = (F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text"))
     return (
         turns.select("conv_id", "turn", "role", "text")
         .withColumn("n", F.row_number().over(order))
-        .withColumn("da", F.xxhash64(F.lit(1), "n", *content))
-        .withColumn("db", F.xxhash64(F.lit(2), *content, "n", F.reverse("text")))
+        .withColumn("da", F.xxhash64(F.lit(2 * salt + 1), "n", *content))
+        .withColumn("db", F.xxhash64(F.lit(2 * salt + 2), *content, "n", F.reverse("text")))
         .select("conv_id", "turn", "role", "text", "n", F.expr("bit_xor(da)").over(upto).alias("ha"), F.expr("bit_xor(db)").over(upto).alias("hb"))
     )
 
@@ -49,22 +54,26 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     reason: ``maximal``, ``snapshot`` (a longer conversation starts with it) or
     ``repeat`` (equal to one with a smaller id).
     """
-    marks = checkpointed(prefix_hashes(turns).select("conv_id", "n", "ha", "hb"))
+    salt = 0
+    while not confirmed(hashed := prefix_hashes(turns, salt)):
+        salt += 1
+    marks = checkpointed(hashed.select("conv_id", "n", "ha", "hb"))
     sizes = marks.groupBy("conv_id").agg(F.max(F.struct("n", "ha", "hb")).alias("last"))
     whole = sizes.select("conv_id", F.col("last.n").alias("n"), F.col("last.ha").alias("ha"), F.col("last.hb").alias("hb"))
-    inner = (
-        marks.alias("m").join(whole.alias("w"), F.col("m.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("m.n") < F.col("w.n")), "left_semi")
-        .groupBy("n", "ha", "hb").agg(F.lit(True).alias("is_prefix"))
-    )
-    first = whole.groupBy("n", "ha", "hb").agg(F.min("conv_id").alias("first_id"), F.min(F.col("conv_id").isNotNull()).alias("all_ids"))
-    kept_id = F.when(F.col("all_ids"), F.col("first_id"))
-    said = whole.join(first, ["n", "ha", "hb"]).join(inner, ["n", "ha", "hb"], "left")
-    snapshot = F.coalesce(F.col("is_prefix"), F.lit(False))
-    stays = ~snapshot & F.col("conv_id").eqNullSafe(kept_id)
-    return said.select(
-        "conv_id", F.col("n").cast("long").alias("n_turns"), stays.alias("kept"),
-        F.when(snapshot, "snapshot").when(stays, "maximal").otherwise("repeat").alias("reason"),
-    )
+    key = ["n", "ha", "hb"]
+    inner = marks.alias("m").join(whole.alias("w"), F.col("m.conv_id").eqNullSafe(F.col("w.conv_id")) & (F.col("m.n") < F.col("w.n")), "left_semi").select(*key).distinct()
+    snapshots = whole.join(inner, key, "left_semi").select("conv_id", "n", F.lit("snapshot").alias("reason"))
+    longest = whole.join(inner, key, "left_anti")
+    first = longest.groupBy(*key).agg(F.min("conv_id").alias("first_id"), F.min(F.col("conv_id").isNotNull()).alias("all_ids"))
+    stays = F.col("conv_id").eqNullSafe(F.when(F.col("all_ids"), F.col("first_id")))
+    others = longest.join(first, key).select("conv_id", "n", F.when(stays, "maximal").otherwise("repeat").alias("reason"))
+    return snapshots.unionByName(others).select("conv_id", F.col("n").cast("long").alias("n_turns"), (F.col("reason") == "maximal").alias("kept"), "reason")
+
+
+def confirmed(hashed: DataFrame) -> bool:
+    """Whether each hash of turns up to n stands for one nth turn only."""
+    said = hashed.groupBy("n", "ha", "hb", "role", "text").agg(F.count(F.lit(1)).alias("times"))
+    return said.groupBy("n", "ha", "hb").agg(F.count(F.lit(1)).alias("turns")).filter("turns > 1").isEmpty()
 
 
 def render(turns: DataFrame) -> DataFrame:

@@ -67,7 +67,8 @@ def _url_sql() -> str:
 
     strict = " + ".join(map(free, url_filter.STRICT_TERMS))
     soft = " + ".join(f"{w} * {free(t)}" for t, w in url_filter.SOFT_TERMS.items())
-    limit = url_filter.UrlPolicy().soft_limit
+    count = " + ".join(map(free, url_filter.SOFT_TERMS))
+    policy = url_filter.UrlPolicy()
     return f"""
 with rules(rule, rhost, rpath, said) as (values {rules}),
 cut as (
@@ -79,13 +80,13 @@ parts as (
          translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
   from cut),
-hits as (select *, {strict} as strict_hits, {soft} as soft_weight from parts),
+hits as (select *, {strict} as strict_hits, {soft} as soft_weight, {count} as soft_hits from parts),
 ruled as (
   select h.*, (select max_by(r.rule, length(r.rule)) from rules r
                where (h.host = r.rhost or ends_with(h.host, '.' || r.rhost)) and starts_with(h.path, r.rpath)) as rule
   from hits h)
 select page_id, host, path, ruled.rule,
-       coalesce(rules.said, case when strict_hits > 0 or soft_weight >= {limit} then 'block' else 'allow' end) as verdict,
+       coalesce(rules.said, case when strict_hits > 0 or (soft_hits >= {policy.soft_terms} and soft_weight >= {policy.soft_limit}) then 'block' else 'allow' end) as verdict,
        strict_hits::int as strict_hits, soft_weight::int as soft_weight
 from ruled left join rules on rules.rule = ruled.rule"""
 

@@ -10,7 +10,8 @@ rules of a url are few (its host's suffixes), so rules are looked up in a dict.
 
 Otherwise one automaton over the vocabulary scans the lower-cased url once. A hit
 counts only if both neighbours are no letters or digits (or the edge). One strict
-term, or soft terms whose distinct weights reach ``soft_limit``, block the url.
+term blocks the url; so do ``soft_terms`` or more distinct soft terms whose weights reach ``soft_limit``
+together. One soft term alone never does, whatever its weight and however often it stands there.
 
 Defined cases: a null, empty or host-less url has no rule; it is allowed, as no
 term is found in it (a term in a host-less url still counts). Repeated rows are
@@ -29,9 +30,16 @@ from pyspark.sql import functions as F
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-#: Terms that block alone, and terms that block together, with their weights.
-STRICT_TERMS = ("adult", "casino", "malware", "phishing", "porn", "spam", "torrent", "warez", "xxx")
-SOFT_TERMS = {"bets": 1, "bonus": 1, "cheap": 1, "click": 1, "farm": 1, "free": 1, "loan": 1, "pills": 1, "poker": 1, "prize": 1, "sex": 1, "win": 1}
+#: Terms that block alone, and terms that block together, with their weights.
+STRICT_TERMS = (
+    "adult", "bukkake", "camgirl", "camgirls", "casino", "casinos", "escort", "escorts", "hentai", "keygen", "malware", "milf", "nsfw", "phishing",
+    "porn", "porno", "pornstar", "ransomware", "spam", "spyware", "torrent", "torrents", "viagra", "warez", "xxx",
+)
+SOFT_TERMS = {
+    "bet": 2, "bets": 2, "betting": 2, "blackjack": 2, "bonus": 1, "cams": 2, "cash": 1, "cheap": 1, "click": 1, "crack": 2, "dating": 2, "deal": 1,
+    "discount": 1, "earn": 1, "erotic": 2, "farm": 1, "free": 1, "gamble": 2, "girls": 1, "hot": 1, "jackpot": 2, "loan": 2, "loans": 2, "lottery": 2,
+    "naked": 2, "nude": 2, "offer": 1, "pills": 2, "poker": 2, "prize": 1, "promo": 1, "roulette": 2, "sex": 2, "sexy": 2, "slots": 2, "win": 1,
+}
 
 
 @dataclass(frozen=True)
@@ -41,7 +49,8 @@ class UrlPolicy:
     rules: Mapping[str, str] = field(default_factory=dict)
     strict: tuple[str, ...] = STRICT_TERMS
     soft: Mapping[str, int] = field(default_factory=lambda: dict(SOFT_TERMS))
-    soft_limit: int = 2
+    soft_limit: int = 3
+    soft_terms: int = 2
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -98,7 +107,7 @@ class UrlJudge:
         rule = self.rule_of(host, path)
         strict, soft = self.hits(url)
         weight = sum(self.policy.soft[t] for t in soft)
-        said = self.policy.rules[rule] if rule is not None else ("block" if strict or weight >= self.policy.soft_limit else "allow")
+        said = self.policy.rules[rule] if rule is not None else ("block" if strict or (len(soft) >= self.policy.soft_terms and weight >= self.policy.soft_limit) else "allow")
         return host, path, rule, said, len(strict), weight
 
 

@@ -22,6 +22,11 @@ def test_url_filter(spark):
         [(1, "", "", None, "allow"), (2, "", "", None, "allow"), (3, "", "", None, "block"), *[(4, "spam.example.org", "/es/1", "example.org/es/", "block")] * 2, (0, "a.fr", "/free/", None, "block"), (6, "x.org", "/free/", "org/", "allow"), (7, "freebets.net", "/bonus", None, "allow"), (8, "h", "", None, "allow")], key=str
     )
     assert url_filter.judge_urls(pages.limit(0), policy).count() == 0
+    judge = url_filter.UrlJudge(url_filter.UrlPolicy()).judge
+    verdicts = {"http://a.b/poker/poker/poker": "allow", "http://a.b/free/win": "allow", "http://a.b/free/win/click": "block", "http://a.b/free-poker": "block", "http://a.b/xxx": "block", "http://a.b/axxx": "allow"}
+    assert {u: judge(u)[3] for u in verdicts} == verdicts
+    heavy = url_filter.UrlJudge(url_filter.UrlPolicy(soft={"big": 9, "small": 1})).judge
+    assert heavy("http://a.b/big")[3] == "allow" and heavy("http://a.b/big/small")[3] == "block"
 
 
 def test_chat_format(spark):
@@ -33,6 +38,19 @@ def test_chat_format(spark):
     assert chat_format.collapse_and_render(df.limit(0)).count() == 0
 
 
+def test_chat_format_hashes_anew_where_turns_clash(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 0, "u", "a"), (2, 0, "u", "b"), (2, 1, "u", "c")], "conv_id long, turn long, role string, text string")
+    real, salts = chat_format.prefix_hashes, []
+
+    def weak(turns, salt=0):
+        salts.append(salt)
+        hashed = real(turns, salt)
+        return hashed.withColumns({"ha": F.lit(1), "hb": F.lit(1)}) if not salt else hashed
+
+    monkeypatch.setattr(chat_format, "prefix_hashes", weak)
+    assert {r.conv_id: r.reason for r in chat_format.maximal_conversations(df).collect()} == {1: "maximal", 2: "maximal"} and salts == [0, 1]
+
+
 def test_exact_dedup(odd, empty):
     got = {(r.id, r.text_sha256): r for r in exact_dedup.label_copies(odd).collect()}
     by_id = {k[0]: r for k, r in got.items()}
