@@ -7,9 +7,12 @@ the cross entropy in bits a symbol. The language with the lowest wins (of
 equal ones, the first name).
 
 Symbols are bytes of UTF-8 folded to 64 classes: letters A-Z and a-z alike, bytes
-from 0x80 in 37 classes, all else one. Texts are parsed in segments of ``SEGMENT``
-symbols, all segments of a slice of texts in step: the automata are dense tables,
-in which a missing transition restarts at the root and counts a phrase.
+from 0x80 in 37 classes, all else one. The automata are dense tables,
+in which a missing transition restarts at the root and counts a phrase. All segments of ``SEGMENT``
+symbols of a slice of texts are parsed in step, each from the root; then each is parsed again from the
+state in which the one before ended, until both parses are in one state, from which on they are the same. A text
+with a segment where they never meet (long runs of few symbols) is parsed symbol by symbol. So the phrases
+are those of one parse of the whole text, wherever segments end.
 
 The reference is a bounded sample of labelled rows: for each language ``slices``
 pieces of ``slice_chars`` characters, of rows chosen by a hash of their id, cut at a
@@ -92,15 +95,43 @@ class Reference:
         self.table = table.ravel()
         self.bits = math.log2(len(symbols) + 2)
 
-    def phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each segment; segments in order of falling size, none empty."""
-        found = np.ones(len(starts), np.int64)
+    def phrases(self, symbols: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each segment, and the segments for which this isn't known.
+
+        Segments in order of falling size, none empty; ``before``: the segment that each continues, -1 for a text's first.
+        """
+        found = (before < 0).astype(np.int64)
         state = np.zeros(len(starts), np.int32)
+        trace = np.zeros(len(symbols), np.int32)
         live = np.searchsorted(-sizes, -np.arange(int(sizes[0]) if len(sizes) else 0), "left")
         for j, n in enumerate(live.tolist()):
-            to = self.table.take(state[:n] + symbols[starts[:n] + j])
+            at = starts[:n] + j
+            to = self.table.take(state[:n] + symbols[at])
+            trace[at] = to
             found[:n] += to & 1
             state[:n] = to >> 1
+        who = np.flatnonzero(before >= 0)
+        other = state[before[who]]
+        apart: list[np.ndarray] = []
+        j = 0
+        while len(who):
+            over = sizes[who] <= j
+            apart.append(who[over])
+            who, other = who[~over], other[~over]
+            to, first = self.table.take(other + symbols[starts[who] + j]), trace[starts[who] + j]
+            found[who] += (to & 1) - (first & 1)
+            other = to >> 1
+            met = other == first >> 1
+            who, other, j = who[~met], other[~met], j + 1
+        return found, np.concatenate([np.zeros(0, np.int64), *apart])
+
+    def plain(self, symbols: np.ndarray) -> int:
+        """Phrases of one text, symbol by symbol."""
+        found, state, table = 1, 0, memoryview(self.table)
+        for c in symbols.tolist():
+            to = table[state + c]
+            found += to & 1
+            state = to >> 1
         return found
 
 
@@ -132,8 +163,16 @@ class Model:
         starts = offsets[judged][owner] + k * SEGMENT
         sizes = np.minimum(SEGMENT, offsets[judged + 1][owner] - starts)
         order = np.argsort(-sizes, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        before = np.where(k > 0, place[np.maximum(np.arange(len(order)) - 1, 0)], -1)[order]
         symbols = _FOLD[data]
-        costs = np.stack([np.bincount(owner[order], weights=r.phrases(symbols, starts[order], sizes[order]), minlength=len(judged)) * r.bits for r in references])
+        costs = np.empty((len(references), len(judged)))
+        for language, r in enumerate(references):
+            found, apart = r.phrases(symbols, starts[order], sizes[order], before)
+            costs[language] = np.bincount(owner[order], weights=found, minlength=len(judged)) * r.bits
+            for text in np.unique(owner[order][apart]).tolist():
+                costs[language, text] = r.plain(symbols[offsets[judged[text]] : offsets[judged[text] + 1]]) * r.bits
         ranked = np.sort(costs, axis=0)
         score[judged] = 1 - ranked[0] / ranked[1] if len(names) > 1 else 1.0
         for at, best in zip(judged.tolist(), costs.argmin(0).tolist(), strict=True):

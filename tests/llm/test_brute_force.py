@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from starloom.llm import _components, _workers, bm25, minhash, packing, queries, substring_dedup, tokenizing
+from starloom.llm import _components, _workers, bm25, language_id, minhash, packing, queries, substring_dedup, tokenizing
 from starloom.llm._words import LONG_WORD, Hasher, split_words
 from starloom.llm.language_id import suffix_automaton
 from starloom.llm.piece_codec import CharacterMap, Normalizer, PieceCodec, _fields
@@ -326,3 +326,34 @@ def test_spans_cover_the_original():
     for text in (" a  b", "Hello wörld\n日本 😀", "▁x ", "\x00"):
         ids, spans = codec.encode_spans(text)
         assert ids == library.encode(text) and spans[0, 0] == 0 and spans[-1, 1] == len(text.encode()) and (spans[1:, 0] <= spans[:-1, 1]).all()
+
+
+def plain_parse(reference, text):
+    """Phrases of the greedy parse of ``text`` into the longest substrings of ``reference``."""
+    found = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and any(reference[i : i + size + 1] == text[at : at + size + 1] for i in range(len(reference))):
+            size += 1
+        found, at = found + 1, at + size
+    return found
+
+
+def test_cross_parse_is_that_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["der", "die", "und", "maison", "the", "of", "écl", "zzz", "q"]
+    pieces = tuple(" ".join(rng.choice(words[:7], 12)) for _ in range(3))
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 5, 40, 200)] + ["e" * 700, "der" * 200, "日本 " * 50, "x"]
+    reference = language_id.Reference(pieces)
+    folded = lambda t: language_id._FOLD[np.frombuffer(t.encode(), np.uint8)].tolist()
+    whole = [c for p in pieces for c in [*folded(p), 0]]
+    model = language_id.Model((("a", pieces), ("b", ("the of the of",))))
+    other = language_id.Reference(("the of the of",))
+    other_whole = [*folded("the of the of"), 0]
+    want = [(plain_parse(whole, folded(t)) * reference.bits, plain_parse(other_whole, folded(t)) * other.bits) for t in texts]
+    for segment in (7, 256):
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        said, score = model.predict(pa.array(texts))
+        assert [s != "und" for s in said] == [True] * len(texts)
+        assert np.allclose(score, [1 - min(w) / max(w) for w in want])
+        assert [s for s in said] == ["a" if w[0] <= w[1] else "b" for w in want]
