@@ -36,9 +36,20 @@ def only(key: Any, build: Callable[[], Any]) -> Any:
         _held.clear()
         give_back()
         _held[key] = build()
+        give_back()
     return _held[key]
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """``run`` for a stage whose object is kept; what else the task used is given back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
     """``run`` for a stage that keeps nothing: the worker holds nothing meanwhile, and what the task used is given back."""
 

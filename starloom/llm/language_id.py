@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import only, steps
+from starloom.llm._workers import only, steps, trimmed
 
 UNKNOWN = "und"
 SYMBOLS, SEGMENT = 64, 256
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     number = docs[id_col].cast("long")
     rows = docs.select(number.alias("doc_id"), held_out(number).alias("held_out"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -234,4 +234,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
             said, _ = model.predict(texts.fill_null("") if texts.null_count else texts)
             yield batch.filter(pa.array([s != UNKNOWN for s in said]))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)

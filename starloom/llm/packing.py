@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import steps
+from starloom.llm._workers import steps, trimmed
 from starloom.llm.tokenizing import ENCODE_BYTES, encoder
 from starloom.session import checkpointed
 
@@ -61,7 +61,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: in
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, _PIECES)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text")).mapInArrow(trimmed(run), _PIECES)
 
 
 class SumIndex:

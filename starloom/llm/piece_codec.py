@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import only, steps
+from starloom.llm._workers import only, steps, trimmed
 
 SPACE = "▁"
 _MARK = SPACE.encode()
@@ -209,7 +209,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 columns += [pa.array([at[:, k] for _, at in rows], pa.list_(pa.int64())) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "begins", "ends"][: len(columns)])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +231,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spanned_bytes"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long")
+    return _texts(docs, id_col, text_col).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spanned_bytes long")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

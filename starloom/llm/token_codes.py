@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm._workers import lean, steps
+from starloom.llm._workers import lean, steps, trimmed
 from starloom.llm.tokenizing import ENCODE_BYTES, encoder
 
 MAGIC, BLOCK = b"SLTC", 512
@@ -173,7 +173,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shard_to
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES), 1)
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order, "text")
-    images = ordered.mapInArrow(run, "shard long, inside long, n_tokens long, image binary")
+    images = ordered.mapInArrow(trimmed(run), "shard long, inside long, n_tokens long, image binary")
     images.select(F.spark_partition_id().alias("part"), "shard", "inside", "n_tokens", "image").write.parquet(path)
 
 

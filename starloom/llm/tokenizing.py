@@ -28,9 +28,9 @@ from tokenizers import Tokenizer
 
 from starloom.llm._workers import column_bytes, only
 
-MEMO_ENTRIES, LONG_CUT = 400_000, 64
+MEMO_ENTRIES, LONG_CUT = 300_000, 64
 #: Bytes of text that are encoded at a time.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 2_500_000
 
 #: Single pre-tokens: letters (up to U+024F), with at most a space before them.
 _LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+").fullmatch

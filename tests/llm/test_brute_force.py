@@ -357,3 +357,34 @@ def test_cross_parse_is_that_of_whole_texts(monkeypatch):
         assert [s != "und" for s in said] == [True] * len(texts)
         assert np.allclose(score, [1 - min(w) / max(w) for w in want])
         assert [s for s in said] == ["a" if w[0] <= w[1] else "b" for w in want]
+
+
+def test_search_skips_blocks_and_is_exact(spark, monkeypatch):
+    """Posting blocks and ranges of documents are left out, and the best k are those of all scores."""
+    monkeypatch.setattr(bm25, "BLOCK", 4)
+    rng = np.random.default_rng(6)
+    vocabulary = [f"t{k}" for k in range(60)]
+    docs = [" ".join(rng.choice(vocabulary[10 * (k % 6) : 10 * (k % 6) + 14], rng.integers(3, 40))) for k in range(240)]
+    bag = [collections.Counter(d.split()) for d in docs]
+    held = collections.Counter(t for b in bag for t in b)
+    mean = sum(sum(b.values()) for b in bag) / len(bag)
+    names = np.array([int(x) for x in split_words(pa.array(vocabulary)).hashes(bm25._WORD)], np.uint64)
+    number = dict(zip(vocabulary, names, strict=True))
+    rows = sorted((k, int(number[t]), n) for k, b in enumerate(bag) for t, n in b.items())
+    owner, terms, counts = (np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int64, np.uint64, np.uint32), strict=True))
+    common = sorted(sorted(held, key=lambda t: -held[t])[:5], key=lambda t: int(number[t]))
+    shard = bm25.Shard(np.arange(240), np.ones(240, bool), np.array([sum(b.values()) for b in bag]), owner, terms, counts, np.array([number[t] for t in common], np.uint64), mean)
+    idf = {t: np.log1p((240 - n + 0.5) / (n + 0.5)) for t, n in held.items()}
+
+    def asked(b):
+        some, rest = [t for t in b if t in common], sorted((t for t in b if t not in common), key=lambda t: int(number[t]))
+        return np.array([common.index(t) for t in some], np.int64), np.array([idf[t] for t in some]), np.array([number[t] for t in rest], np.uint64), np.array([idf[t] for t in rest])
+
+    for q, places, scores in shard.top([asked(b) for b in bag[:50]], 3):
+        want = np.zeros(240)
+        for k, b in enumerate(bag):
+            dl = sum(b.values())
+            want[k] = sum(idf[t] * b[t] * (bm25.K1 + 1) / (b[t] + bm25.K1 * (1 - bm25.B + bm25.B * dl / mean)) for t in bag[q] if t in b)
+        best = sorted(zip(np.round(-scores, 9), shard.ids[places]))[:3]
+        assert [i for _, i in best] == [i for _, i in sorted((round(-w, 9), i) for i, w in enumerate(want))[:3]]
+    assert 0 < shard.read < shard.seen and 0 < shard.ranges_read < shard.ranges_seen
