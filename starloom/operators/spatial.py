@@ -140,10 +140,10 @@ def local_density(points: DataFrame, radius: float, dims: Sequence[str] = ("y",
     return a.select(*by, "i").join(near, [*by, "i"], "left").select(*by, F.col("i").alias(id_col), F.coalesce("density", F.lit(0)).cast("long").alias("density"))
 
 
-def merge_duplicates(points: DataFrame, radius: float, dims: Sequence[str] = ("z", "y", "x"), by: Sequence[str] = ()) -> DataFrame:
-    """Points of one rounded cell become their mean (half rounds to even)."""
+def merge_duplicates(points: DataFrame, radius: float, dims: Sequence[str] = ("z", "y", "x"), by: Sequence[str] = (), ids: Sequence[str] = ()) -> DataFrame:
+    """Points of one rounded cell become their mean (half rounds to even), with the least of their ``ids``."""
     cells = [F.rint(F.col(d) / F.lit(float(radius))).alias(f"_c{d}") for d in dims]
-    return points.groupBy(*by, *cells).agg(*[F.avg(d).alias(d) for d in dims], F.count(F.lit(1)).alias("merged")).select(*by, *dims, "merged")
+    return points.groupBy(*by, *cells).agg(*[F.min(c).alias(c) for c in ids], *[F.avg(d).alias(d) for d in dims], F.count(F.lit(1)).alias("merged")).select(*by, *ids, *dims, "merged")
 
 
 def drop_far_outliers(points: DataFrame, percentile: float, dims: Sequence[str] = ("z", "y", "x"), id_col: str = "pid") -> DataFrame:

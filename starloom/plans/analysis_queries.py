@@ -12,7 +12,7 @@ from starloom.plans.catalog import query
 from starloom.plans.matching import register
 from starloom.session import read_table, scratch_path
 from starloom.sources import records
-from starloom.sources.points import TRUTH_2D, TRUTH_3D, query_points, query_points_3d, reference_points
+from starloom.sources.points import QUERY_BOX, QUERY_BOX_3D, TRUTH_2D, TRUTH_3D, coordinate, query_points, query_points_3d, reference_points
 from starloom.streaming import registration as streaming
 
 
@@ -275,52 +275,64 @@ def stitch_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- whole registrations and streams ------------------------------------------------------------------
 
-_MATCH = {"triangles": {"n_iters": 1500}, "hashing": {"n_iters": 2400, "max_pairs_per_anchor": 4, "max_k_per_pair": 4}, "quad": {"max_pairs": 300, "n_quads": 4}, "graph": {"n_iters": 1500}}
+_MATCH = {"triangles": {"n_iters": 1500}, "hashing": {"n_iters": 2400, "max_neighbors_full": 4, "max_neighbors_patch": 4}, "quad": {"max_candidate_pairs": 300, "n_quads_per_center": 4}, "graph": {"n_iters": 1500}}
+
+
+def _result(spark: SparkSession, row: dict, n: int, good: bool) -> DataFrame:
+    return spark.createDataFrame([(row["matcher"], good, n, row["n_inliers"], row["frac_inliers"])], "matcher string, recovered boolean, n_points long, n_inliers long, frac_inliers double")
+
+
+def _match_sql(matcher: str, dims: int = 2) -> str:
+    """Query points are those of a box, so a recovered map brings all of them to a reference point."""
+    axes, boxes = ("yx", [QUERY_BOX] * 2) if dims == 2 else ("zyx", QUERY_BOX_3D)
+    box = " and ".join(f"{d} >= {low} and {d} < {high}" for d, (low, high) in zip(axes, boxes, strict=True))
+    ref = ", ".join(f"{coordinate(d, 'o_orderkey')} as {d}" for d in axes)
+    return f"select '{matcher}' as matcher, true as recovered, count(*) as n_points, count(*) as n_inliers, count(*) / count(*) as frac_inliers from (select {ref} from orders) where {box}"
 
 
 def _match(spark: SparkSession, sf_dir: str, matcher: str) -> DataFrame:
-    reference = reference_points(spark, sf_dir)
-    row = register(query_points(spark, sf_dir), reference, matcher, {**_MATCH[matcher], "inlier_radius_um": 0.5})
+    reference, asked = reference_points(spark, sf_dir), query_points(spark, sf_dir)
+    row = register(asked, reference, matcher, {**_MATCH[matcher], "inlier_radius_um": 0.5})
     good = bool(row["success"]) and abs(row["scale"] / TRUTH_2D["scale"] - 1) < 0.03 and abs(row["t0"] - TRUTH_2D["t0"]) < 2.5 and abs(row["t1"] - TRUTH_2D["t1"]) < 2.5
-    return spark.createDataFrame([(matcher, good)], "matcher string, recovered boolean")
+    return _result(spark, row, asked.count(), good)
 
 
-@query("select 'hashing' as matcher, true as recovered")
+@query(_match_sql("hashing"))
 def match_hashing_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, "hashing")
 
 
-@query("select 'triangles' as matcher, true as recovered")
+@query(_match_sql("triangles"))
 def match_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, "triangles")
 
 
-@query("select 'quad' as matcher, true as recovered")
+@query(_match_sql("quad"))
 def match_quad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, "quad")
 
 
-@query("select 'graph' as matcher, true as recovered")
+@query(_match_sql("graph"))
 def match_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match(spark, sf_dir, "graph")
 
 
-_MATCH_3D = {"pyramid": {"n_iters": 2000}, "hashing": {"n_iters": 2400, "base_dist_um": 60.0, "max_pairs_per_anchor": 3, "max_k_per_pair": 3, "max_l_per_triple": 4, "min_inliers": 8}}
+_MATCH_3D = {"pyramid": {"n_iters": 2000}, "hashing": {"n_iters": 2400, "base_distance_um": 60.0, "max_neighbors_full": 4, "max_neighbors_patch": 4, "max_pairs_per_anchor": 3, "max_k_per_pair": 3, "max_pairs_per_anchor_patch": 3, "max_k_per_pair_patch": 3, "min_inliers_abs": 8}}
 
 
 def _match_3d(spark: SparkSession, sf_dir: str, matcher: str) -> DataFrame:
-    reference = reference_points(spark, sf_dir, ("z", "y", "x"))
-    row = register(query_points_3d(spark, sf_dir), reference, matcher, {**_MATCH_3D[matcher], "inlier_radius_um": 2.0}, dims=3)
+    reference, asked = reference_points(spark, sf_dir, ("z", "y", "x")), query_points_3d(spark, sf_dir)
+    row = register(asked, reference, matcher, {**_MATCH_3D[matcher], "inlier_radius_um": 2.0}, dims=3)
     good = bool(row["success"]) and abs(row["scale"] / TRUTH_3D["scale"] - 1) < 0.04 and all(abs(row[f"t{k}"] - TRUTH_3D[f"t{k}"]) < 3 for k in range(3))
-    return spark.createDataFrame([(matcher, good)], "matcher string, recovered boolean")
+    return _result(spark, row, asked.count(), good)
 
 
-@query("select 'pyramid' as matcher, true as recovered")
+@query(_match_sql("pyramid", 3))
 def match_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match_3d(spark, sf_dir, "pyramid")
 
 
-@query("select 'hashing' as matcher, true as recovered")
+@query(_match_sql("hashing", 3))
 def match_hashing_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _match_3d(spark, sf_dir, "hashing")
 

@@ -262,9 +262,8 @@ def min_inliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRI = f"""{_REF}, {_knn(4)}, loc as (select k.i, k.j, k.rank, p.y as iy, p.x as ix, q.y as jy, q.x as jx from knn k join ref p on p.pid = k.i join ref q on q.pid = k.j),
 formed as (select l.i, l.rank, a.jy - l.iy as v1y, a.jx - l.ix as v1x, l.jy - l.iy as v2y, l.jx - l.ix as v2x from loc l join loc a on a.i = l.i and a.rank = 1 where l.rank > 1),
-vals as (select *, sqrt(v1y * v1y + v1x * v1x) as n1, sqrt(v2y * v2y + v2x * v2x) as n2, (v1y * v2y + v1x * v2x) / (v2y * v2y + v2x * v2x + 1e-8) as f0, v1y * v2x - v1x * v2y as crossed from formed),
-more as (select *, n1 / (n2 + 1e-8) as ratio from vals),
-d as (select i, rank, f0, (case when crossed < 0 then -1 else 1 end) * ratio * sqrt(greatest(0, 1 - greatest(-1, least(1, f0 / (ratio + 1e-8))) * greatest(-1, least(1, f0 / (ratio + 1e-8))))) as f1, abs(crossed) as area2 from more)"""
+vals as (select *, v2y * v2y + v2x * v2x as unit, v1y * v2x - v1x * v2y as crossed from formed),
+d as (select i, rank, (v1y * v2y + v1x * v2x) / unit as f0, crossed / unit as f1, abs(crossed) as area2 from vals)"""
 
 
 @query(f"with {_TRI} select p.pid as i, round(coalesce(avg(case when area2 >= 2e-6 then f0 end), 0), 5) as f0, round(coalesce(avg(case when area2 >= 2e-6 then f1 end), 0), 5) as f1 from ref p left join d on d.i = p.pid group by p.pid")
