@@ -12,7 +12,8 @@ All cuts go through the whole tokenizer. Texts with characters that regular expr
 that hold white space beyond ASCII, are one cut.
 
 A worker's memo holds cuts of at most ``LONG_CUT`` bytes, and ``MEMO_ENTRIES`` of them
-besides those of the current slice, so its memory is bounded whatever the texts are.
+besides those of the current slice, so its memory is bounded whatever the texts are. When it is
+full, cuts that few slices had are dropped.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ class MemoEncoder:
     def _empty(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.pool, self.sizes, self.places = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slices = np.zeros(0, np.int32)  # in how many slices each was
 
     def whole(self, texts: Sequence[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
@@ -117,8 +119,26 @@ class MemoEncoder:
         new = np.array([len(x) // 4 for x in ids], np.int64)
         self.places = np.concatenate([self.places, len(self.pool) + np.cumsum(new) - new])
         self.sizes = np.concatenate([self.sizes, new])
+        self.slices = np.concatenate([self.slices, np.ones(len(new), np.int32)])
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
 
+    def _forget(self, needed: np.ndarray) -> np.ndarray:
+        """Drop cuts that few slices had, so that half of the room is free, but none that is needed; where the others are now."""
+        least = np.partition(self.slices, len(self.slices) - MEMO_ENTRIES // 2)[len(self.slices) - MEMO_ENTRIES // 2]
+        stays = self.slices > least
+        stays[needed] = True
+        kept = np.flatnonzero(stays)
+        where = np.full(len(stays), -1)
+        where[kept] = np.arange(len(kept))
+        words = list(self.memo)  # in the order of their codes
+        slices = self.slices[kept] >> 1
+        ids = [self.pool[a : a + n].tobytes() for a, n in zip(self.places[kept].tolist(), self.sizes[kept].tolist(), strict=True)]
+        self._empty()
+        self._add(ids)
+        self.slices = slices
+        self.memo = {words[k]: j for j, k in enumerate(kept.tolist())}
+        return where
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more for the end)."""
         data, offsets = column_bytes(column)
@@ -132,19 +152,17 @@ class MemoEncoder:
         raw, where = raw.tobytes(), where.tolist()
         distinct = [raw[a:b] for a, b in itertools.pairwise(where)]
         codes = np.fromiter(map(self.memo.get, distinct, [-1] * len(distinct)), np.int64, len(distinct))
-        if len(self.memo) > MEMO_ENTRIES:  # keep what this slice uses
-            known = np.flatnonzero(codes >= 0)
-            kept = [self.pool[a : a + n].tobytes() for a, n in zip(self.places[codes[known]].tolist(), self.sizes[codes[known]].tolist(), strict=True)]
-            self._empty()
-            self._add(kept)
-            self.memo = {distinct[k]: j for j, k in enumerate(known.tolist())}
-            codes[known] = np.arange(len(known))
+        known = codes[codes >= 0]
+        self.slices[known] += 1
+        if len(self.memo) > MEMO_ENTRIES:
+            where = self._forget(known)
+            codes = np.where(codes >= 0, where[codes], -1)
         missing = np.flatnonzero(codes < 0)
         held = len(self.sizes)
         if len(missing):
             words = [distinct[k] for k in missing.tolist()]
             codes[missing] = held + np.arange(len(words))
-            places, sizes, pool = self.places, self.sizes, self.pool
+            places, sizes, pool, slices = self.places, self.sizes, self.pool, self.slices
             self._add(self._ids(words))
             if max(map(len, words)) <= LONG_CUT:
                 self.memo.update(zip(words, codes[missing].tolist(), strict=True))
@@ -155,7 +173,7 @@ class MemoEncoder:
         if len(missing) and max(map(len, words)) > LONG_CUT:  # long ones are not kept
             short = [j for j, w in enumerate(words) if len(w) <= LONG_CUT]
             kept = [self.pool[a : a + n].tobytes() for a, n in zip(self.places[held:][short].tolist(), self.sizes[held:][short].tolist(), strict=True)]
-            self.places, self.sizes, self.pool = places, sizes, pool
+            self.places, self.sizes, self.pool, self.slices = places, sizes, pool, slices
             self._add(kept)
             self.memo.update((words[j], held + i) for i, j in enumerate(short))
         total = np.concatenate([[0], ends])
