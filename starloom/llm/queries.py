@@ -134,6 +134,34 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
        doc_id is not distinct from max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
 from d"""
 
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+_SUBSTRING_SQL = f"""
+with w as (select doc_id, {_WORDS.format("coalesce(text, '')")} as words from documents),
+starts as (select doc_id, words, unnest(range(1, len(words) - 33)) as i from w where len(words) >= 35),
+windows as (select doc_id, i, array_to_string(words[i:i + 34], ' ') as said from starts),
+repeated as (select said from windows group by said having count(*) > 1),
+gone as (select doc_id, i from windows semi join repeated using (said)),
+lost as (select distinct doc_id, unnest(range(i, i + 35)) as place from gone),
+each as (select doc_id, unnest(words) as word, unnest(range(1, len(words) + 1)) as place from w),
+kept as (select doc_id, string_agg(word, ' ' order by place) as said, count(*) as n from each anti join lost using (doc_id, place) group by doc_id)
+select w.doc_id, len(words) as n_words, len(words) - coalesce(kept.n, 0) as n_removed, sha256(coalesce(kept.said, '')) as kept_sha256
+from w left join kept using (doc_id)"""
+
+_NEAR_SQL = f"""
+with recursive w as (
+  select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as words from documents),
+pairs as (select doc_id, words, unnest(range(1, greatest(len(words), 2))) as i from w where len(words) > 0),
+sets as (select distinct doc_id, array_to_string(words[i:i + 1], ' ') as said from pairs),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+links as (
+  select a.doc_id as a, b.doc_id as b from sets a join sets b on a.said = b.said and a.doc_id <> b.doc_id join sizes m on m.doc_id = a.doc_id join sizes n on n.doc_id = b.doc_id
+  group by a.doc_id, b.doc_id having 100 * count(*) >= 80 * (any_value(m.n) + any_value(n.n) - count(*))),
+reach as (select a as doc_id, a as far from links union select reach.doc_id, links.b from reach join links on links.a = reach.far),
+least as (select doc_id, min(far) as component_id from reach group by doc_id)
+select w.doc_id, coalesce(sizes.n, 0) as n_shingles, coalesce(least.component_id, w.doc_id) as component_id, coalesce(least.component_id, w.doc_id) = w.doc_id as kept
+from w left join sizes using (doc_id) left join least using (doc_id)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_chat_format": op2_chat_format,
@@ -147,4 +175,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_piece_codec": op10_piece_codec,
 }
 
-SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op5_bm25_search": _BM25_SQL, "op4_exact_dedup": _EXACT_SQL}
+SQL: dict[str, str] = {"op1_url_filter": _url_sql(), "op2_chat_format": _CHAT_SQL, "op3_substring_dedup": _SUBSTRING_SQL, "op4_exact_dedup": _EXACT_SQL, "op5_bm25_search": _BM25_SQL, "op9_minhash": _NEAR_SQL}

@@ -40,19 +40,19 @@ _CHUNK = {8: "<u1", 16: "<u2"}
 
 def encode_image(doc_ids: Sequence[int | None], ids: Sequence[np.ndarray], bits: int = 8) -> bytes:
     """The file image of documents' token ids."""
-    values = np.concatenate(ids).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
+    values = np.concatenate(ids).astype(np.uint32) if len(ids) else np.zeros(0, np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<u8")
     levels = []
     rest = values
     while len(rest) or not levels:
-        goes_on = rest >> np.uint64(bits) > 0
+        goes_on = rest >> np.uint32(bits) > 0
         bitmap = np.packbits(goes_on, bitorder="little")
         bitmap = np.concatenate([bitmap, np.zeros(-len(bitmap) % (BLOCK // 8), np.uint8)])
         ones = np.bitwise_count(bitmap).reshape(-1, BLOCK // 8).sum(1)
         directory = np.concatenate([[0], np.cumsum(ones)]).astype("<u8")
-        chunks = (rest & np.uint64((1 << bits) - 1)).astype(_CHUNK[bits])
+        chunks = rest.astype(_CHUNK[bits])  # the low bits
         levels.append(np.array([len(rest)], "<u8").tobytes() + chunks.tobytes() + bitmap.tobytes() + directory.tobytes())
-        rest = rest[goes_on] >> np.uint64(bits)
+        rest = rest[goes_on] >> np.uint32(bits)
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     numbers = np.array([d or 0 for d in doc_ids], "<i8")
     head = np.array([bits, len(levels), len(doc_ids), len(values)], "<u8")
