@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,6 +96,14 @@ def patch_grid(height: int, width: int, size: int, stride: int, spark) -> DataFr
     return grid.select(F.col("id").alias("box_id"), y0.cast("long").alias("y0"), (y0 + size).cast("long").alias("y1"), x0.cast("long").alias("x0"), (x0 + size).cast("long").alias("x1"))
 
 
+def job_grid(patches: DataFrame, settings: Mapping[str, Sequence]) -> DataFrame:
+    """Every patch with every combination of settings, which are few and given: one row a job."""
+    out = patches
+    for name, values in settings.items():
+        out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return out
+
+
 def unit_interval(key: Column | str, seed: int) -> Column:
     """A portable pseudo-random number in [0, 1) for an integer key."""
     k = F.col(key) if isinstance(key, str) else key

@@ -165,3 +165,11 @@ def structural_similarity(a: DataFrame, b: DataFrame, window: int = 7, span: flo
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
     value = (2 * F.col("a") * F.col("b") + c1) * (2 * vab + c2) / ((F.col("a") * F.col("a") + F.col("b") * F.col("b") + c1) * (va + vb + c2))
     return terms.agg(F.avg(value).alias("ssim"))
+
+
+def as_uint16(pixels: DataFrame, value: str = "value") -> DataFrame:
+    """Values stretched from their least and largest to 0..65535 and cut to whole numbers; all 0 where these don't differ."""
+    number = F.when(~F.isnan(value), F.col(value))
+    ends = pixels.agg(F.min(number).alias("_low"), F.max(number).alias("_high"))  # one row
+    share = F.when(F.col("_high") > F.col("_low"), (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(0.0)
+    return pixels.crossJoin(F.broadcast(ends)).withColumn(value, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * 65535).cast("int")).drop("_low", "_high")

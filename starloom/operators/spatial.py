@@ -59,6 +59,15 @@ def nearest_within(a: DataFrame, b: DataFrame, radius: float, dims: Sequence[str
     return radius_join(a, b, radius, dims, by, left_id, right_id).groupBy(*by, left_id).agg(best).select(*by, left_id, F.col(f"best.{right_id}").alias(right_id), F.col("best.dist").alias("dist"))
 
 
+def nearest_allowed(a: DataFrame, b: DataFrame, allowed: DataFrame, radius: float, dims: Sequence[str] = ("y", "x"), left_id: str = "i", right_id: str = "j") -> DataFrame:
+    """For each point of ``a`` the nearest within the radius of those points of ``b`` that ``allowed`` pairs it with."""
+    mine, theirs = (p.select(F.col(c).alias(c), *[F.col(d).alias(f"{d}{k}") for d in dims]) for k, (p, c) in enumerate(((a, left_id), (b, right_id))))
+    pairs = allowed.select(left_id, right_id).distinct().join(mine, left_id).join(theirs, right_id)
+    pairs = pairs.withColumn("dist", distance([F.col(f"{d}0") for d in dims], [F.col(f"{d}1") for d in dims])).filter(F.col("dist") <= radius)
+    best = pairs.groupBy(left_id).agg(F.min(F.struct("dist", right_id)).alias("best"))
+    return best.select(left_id, F.col(f"best.{right_id}").alias(right_id), F.col("best.dist").alias("dist"))
+
+
 def one_to_one(pairs: DataFrame, by: Sequence[str] = (), left_id: str = "i", right_id: str = "j") -> DataFrame:
     """Each right point keeps its closest left point (of equal ones the smaller id)."""
     best = F.min(F.struct("dist", left_id)).alias("best")
