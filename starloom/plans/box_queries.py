@@ -1,4 +1,4 @@
-"""Queries on boxes, pixel sizes, angles, maps and job grids."""
+"""Queries on boxes, pixel sizes, angles, maps and job grids, and of whole runs."""
 
 from __future__ import annotations
 
@@ -12,10 +12,12 @@ from starloom.functions import geometry as geo
 from starloom.operators import analytics, raster
 from starloom.operators import spatial as sp
 from starloom.operators.neighbours import neighbours
+from starloom.plans import flow
 from starloom.plans.catalog import query
 from starloom.plans.spatial_queries import _REF, _knn
-from starloom.session import read_table
-from starloom.sources.points import reference_points
+from starloom.session import read_table, scratch_path
+from starloom.sources import records
+from starloom.sources.points import QUERY_BOX, TRUTH_2D, query_points, reference_points
 
 _PI = repr(math.pi)
 
@@ -158,3 +160,34 @@ def job_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels_uint16(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("value"))
     return raster.as_uint16(pixels)
+
+
+_COS, _SIN = (f(math.radians(TRUTH_2D["angle_deg"])) for f in (math.cos, math.sin))
+
+
+@query(f"""with {_REF}, n as (select count(*) as n from ref where y >= {QUERY_BOX[0]} and y < {QUERY_BOX[1]} and x >= {QUERY_BOX[0]} and x < {QUERY_BOX[1]})
+select 'triangles' as matcher, 1 as attempts, 1.25::double as scale, 18.0::double as t0, -12.0::double as t1, round(1.25 * 0.5 / 0.8 * {_COS!r}, 4) as a00, round(-1.25 * 0.5 / 0.8 * {_SIN!r}, 4) as a01, 22.5::double as b0, n as n_inliers, 0 as problems, '[1] triangles, found, 1.000 inliers, 0.000 um' as line from n""")
+def adaptive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An adaptive run whose history, transform and summary are read back from the files that it wrote."""
+    path = scratch_path(spark, "run")
+    options = {"order": ["triangles", "hashing"], "over": {"n_iters": 1500, "inlier_radius_um": 0.5}}
+    flow.adaptive_export(query_points(spark, sf_dir), reference_points(spark, sf_dir), path, 0.5, 0.8, (200, 200), (1300, 1300), **options)
+    history = spark.read.schema("attempt int, matcher string, success boolean, frac_inliers double, mean_error_um double").json(f"{path}/history")
+    short = spark.read.schema("best_scale double, best_t_um array<double>").json(f"{path}/summary")
+    schema = records.FIELDS_2D.replace("match_quality struct<", "match_quality struct<n_inliers:bigint,") if "n_inliers" not in records.FIELDS_2D else records.FIELDS_2D
+    found = spark.read.schema(schema).json(f"{path}/transforms").withColumn("problems", F.size(records.problems_2d()))
+    a, b, t = F.col("A_px"), F.col("b_px"), F.col("best_t_um")
+    tally = history.agg(F.count(F.lit(1)).cast("int").alias("attempts"))
+    lines = flow.attempt_line(history).select("line")
+    one = found.crossJoin(short).crossJoin(tally).crossJoin(lines)  # one row each
+    return one.select("matcher", "attempts", _r(F.col("best_scale"), 4).alias("scale"), _r(t[0], 2).alias("t0"), _r(t[1], 2).alias("t1"), _r(a[0][0], 4).alias("a00"), _r(a[0][1], 4).alias("a01"), _r(b[0], 2).alias("b0"), F.col("match_quality.n_inliers").alias("n_inliers"), "problems", "line")
+
+
+@query("select p_partkey, p_size from part where not (p_size % 3 = 0 and p_partkey % 2 = 0)")
+def resume_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that the results in CSV files lack; a result without a number of points isn't one."""
+    jobs, path = _part(spark, sf_dir).select("p_partkey", "p_size"), scratch_path(spark, "results")
+    done = jobs.filter("p_size % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise("n/a").alias("n_points"))
+    done.write.option("header", True).csv(path)
+    stored = flow.stored_results(spark, path, ["p_partkey", "n_points"]).filter("n_points is not null")
+    return analytics.unfinished(jobs, stored.select(F.col("p_partkey").cast(jobs.schema["p_partkey"].dataType)), ["p_partkey"])
