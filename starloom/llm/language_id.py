@@ -16,7 +16,8 @@ are those of one parse of the whole text, wherever segments end.
 
 The reference is a bounded sample of labelled rows: for each language ``slices``
 pieces of ``slice_chars`` characters, of rows chosen by a hash of their id, cut at a
-place chosen by another. Only it goes to the driver and the workers. Predictions
+place chosen by another. With many languages each has fewer pieces, so that all have ``most_pieces`` together (and one
+each at least): a worker's tables take some 260 KB a piece. Only the sample goes to the driver and the workers. Predictions
 read whole texts and nothing else.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; so is any
@@ -189,13 +190,14 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", slices: int = 64, slice_chars: int = 512) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", slices: int = 64, slice_chars: int = 512, most_pieces: int = 1024) -> Model:
     """Learn from labelled rows that aren't held out; at most slices * slice_chars characters a language."""
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[label_col].cast("string").alias("label"))
     rows = rows.filter(F.col("label").isNotNull() & ~held_out(F.col("id")))
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return Model(())
+    slices = max(1, min(slices, most_pieces // len(counts)))
     #: Some eight times as many rows as are needed, by hash; then the first of them.
     shares = docs.sparkSession.createDataFrame([(k, min(1.0, 8 * slices / n)) for k, n in counts.items()], "label string, share double")
     dice = F.pmod(F.xxhash64(F.lit(31), "id"), F.lit(1 << 30))

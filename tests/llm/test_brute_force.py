@@ -214,11 +214,16 @@ def test_pipeline(spark, texts):
     cut = without_repeats(left, 35)
     left = {k: cut[k][2] if cut[k][1] else t for k, t in left.items()}
     library = Tokenizer.from_file(BPE)
-    sizes = {k: len(library.encode(t, add_special_tokens=False).ids) + 1 for k, t in left.items()}
-    got = collections.Counter()
+    ids = {k: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in left.items()}
+    got, places = collections.Counter(), collections.defaultdict(list)
     for r in rows:
         got[r.doc_id] += r.length
-    assert dict(got) == sizes
+        assert zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32
+        places[r.sequence_id].append((r.offset, r.length))
+    assert dict(got) == {k: len(x) for k, x in ids.items()}
+    for filled in places.values():
+        filled.sort()
+        assert [o for o, _ in filled] == list(np.cumsum([0, *(n for _, n in filled)])[:-1]) and sum(n for _, n in filled) <= 2048
 
 
 @settings(max_examples=300, deadline=None)
