@@ -5,6 +5,11 @@ without a language, exact dedup keeps one row of equal texts, MinHash near-dedup
 document of each component (five-word shingles, similarity 0.8), substring dedup
 removes words in repeated windows of 35 words from the texts it finds them in, and
 packing returns the pieces of token sequences with their places.
+
+Defined cases, for all stages: an empty table gives an empty result; columns besides ``doc_id`` and ``text`` may have any
+names and pass through; null ids are kept. Texts that are null or have no letter go with language ID. Rows that
+repeat another one go with exact dedup, all but one. Ids are to be unique after that: near-dedup keeps all rows of an
+id or none. A text of which nothing is left after substring dedup is empty and packs as its end id.
 """
 
 from __future__ import annotations

@@ -174,7 +174,7 @@ def adaptive_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     flow.adaptive_export(query_points(spark, sf_dir), reference_points(spark, sf_dir), path, 0.5, 0.8, (200, 200), (1300, 1300), **options)
     history = spark.read.schema("attempt int, matcher string, success boolean, frac_inliers double, mean_error_um double").json(f"{path}/history")
     short = spark.read.schema("best_scale double, best_t_um array<double>").json(f"{path}/summary")
-    schema = records.FIELDS_2D.replace("match_quality struct<", "match_quality struct<n_inliers:bigint,") if "n_inliers" not in records.FIELDS_2D else records.FIELDS_2D
+    schema = records.FIELDS_2D.replace("match_quality struct<", "match_quality struct<n_inliers:bigint,")
     found = spark.read.schema(schema).json(f"{path}/transforms").withColumn("problems", F.size(records.problems_2d()))
     a, b, t = F.col("A_px"), F.col("b_px"), F.col("best_t_um")
     tally = history.agg(F.count(F.lit(1)).cast("int").alias("attempts"))
