@@ -127,6 +127,16 @@ def warped(pixels: DataFrame, inverse: dict[str, Column | float], height: int, w
     return hit
 
 
+def _in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds ``n``, the row's place from 0 in an order: its place in a sorted partition, after the sizes of those before."""
+    sorted_ = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(sorted_.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("size"))  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
+    return placed.join(F.broadcast(shifts), "_part").withColumn("n", F.col("_at") + F.col("shift")).drop("_part", "_at", "shift")
+
+
 def stitch_slices(slices: DataFrame, min_iou: float = 0.25) -> DataFrame:
     """``z, y, x, label``: labels of consecutive slices joined where they overlap enough.
 
@@ -147,7 +157,7 @@ def stitch_slices(slices: DataFrame, min_iou: float = 0.25) -> DataFrame:
     names = every.select("root").distinct()
     roots = names.join(area.select(node("z", "label").alias("root"), "label", "z"), "root")
     top = area.filter(F.col("z") == 0).agg(F.coalesce(F.max("label"), F.lit(0)).alias("top"))
-    fresh = roots.filter("z > 0").withColumn("r", F.row_number().over(Window.orderBy("root"))).crossJoin(F.broadcast(top)).select("root", (F.col("top") + F.col("r")).alias("id"))
+    fresh = _in_order(roots.filter("z > 0").select("root"), "root").crossJoin(F.broadcast(top)).select("root", (F.col("top") + F.col("n") + 1).alias("id"))
     ids = roots.filter("z = 0").select("root", F.col("label").alias("id")).unionByName(fresh)
     return held.join(every.join(ids, "root").select("z", "label", "id"), ["z", "label"]).select("z", "y", "x", F.col("id").alias("label"))
 
