@@ -70,11 +70,12 @@ def otsu_threshold(pixels: DataFrame, bins: int = 256) -> float | None:
 def label_components(mask: DataFrame, dims: Sequence[str] = ("y", "x"), min_size: int = 1) -> DataFrame:
     """Connected pixels (sharing an edge or face) get one label: ``*dims, label``, numbered by first pixel key; small ones go.
 
-    mask: the foreground's coordinates, each from 0 to 2^20.
+    mask: the foreground's coordinates, each from 0 to 2^20 - 2; others are an error, as their keys would be those of other pixels.
     """
     key = F.lit(0).cast("long")
     for d in dims:
-        key = key * (1 << 20) + F.col(d)
+        fits = F.col(d).between(0, (1 << 20) - 2)
+        key = key * (1 << 20) + F.when(fits, F.col(d)).otherwise(F.raise_error(F.lit(f"{d} is out of bounds")).cast("long"))
     nodes = mask.select(*dims, key.alias("a"))
     edges = None
     for d in dims:
