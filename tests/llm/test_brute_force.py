@@ -393,3 +393,47 @@ def test_search_skips_blocks_and_is_exact(spark, monkeypatch):
         best = sorted(zip(np.round(-scores, 9), shard.ids[places]))[:3]
         assert [i for _, i in best] == [i for _, i in sorted((round(-w, 9), i) for i, w in enumerate(want))[:3]]
     assert 0 < shard.read < shard.seen and 0 < shard.ranges_read < shard.ranges_seen
+
+
+def test_search_stores_queries_and_shards_once(spark, texts, monkeypatch):
+    """No copy of a query for each shard, nor of a shard for each query: few rows are stored, however many shards meet however many queries."""
+    monkeypatch.setattr(bm25, "BLOCK_QUERIES", 20)
+    stored, hits = [], []
+    keep, write = bm25._stored, bm25.checkpointed
+    monkeypatch.setattr(bm25, "_stored", lambda df: stored.append(keep(df)) or stored[-1])
+    monkeypatch.setattr(bm25, "checkpointed", lambda df: hits.append(write(df)) or hits[-1])
+    rows = sorted(texts.items())[:200]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    asked = docs.filter("doc_id % 4 = 0").withColumnRenamed("doc_id", "query_id")
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in bm25.search(docs, asked, k=3, shard_docs=10).collect()}
+    n = sum(k % 4 == 0 for k, _ in rows)
+    shards, blocks = (df.count() for df in stored)
+    assert 20 <= shards <= 24 and blocks == -(-n // 20) and hits[-1].count() <= 3 * n * bm25.MOST_GROUPS
+    bag = {k: collections.Counter(WORD.findall(t.translate(LOWER))) for k, t in rows}
+    held = collections.Counter(t for b in bag.values() for t in b)
+    mean = sum(sum(b.values()) for b in bag.values()) / len(bag)
+
+    def score(q, b):
+        dl = sum(b.values())
+        return sum(np.log1p((len(bag) - held[t] + 0.5) / (held[t] + 0.5)) * b[t] * (bm25.K1 + 1) / (b[t] + bm25.K1 * (1 - bm25.B + bm25.B * dl / mean)) for t in q if t in b)
+
+    for k, q in bag.items():
+        if k % 4 == 0:
+            best = sorted((-round(s, 6), i) for i, b in bag.items() if (s := score(q, b)) > 0)[:3]
+            assert [(i, pytest.approx(-s, abs=2e-6)) for s, i in best] == [got[k, r] for r in range(1, len(best) + 1)]
+
+
+def test_shards_are_read_back_and_keep_to_floors():
+    rng = np.random.default_rng(2)
+    owner, terms = (a.ravel() for a in np.meshgrid(np.arange(300), np.arange(1, 41, dtype=np.uint64), indexing="ij"))
+    counts = rng.integers(0, 4, len(owner)).astype(np.uint32)
+    there = counts > 0
+    shard = bm25.Shard(np.arange(300) - 9, np.arange(300) != 5, np.full(300, 60), owner[there], terms[there], counts[there], np.arange(1, 6, dtype=np.uint64), 60.0)
+    again = bm25.Shard.load(pa.py_buffer(shard.dump()), 5, 60.0)
+    asked = [(np.arange(3), np.ones(3), np.arange(6 + q, 30, dtype=np.uint64), np.arange(6 + q, 30) / 10) for q in range(5)]
+    whole, read = ({q: dict(zip(s.ids[d].tolist(), x, strict=True)) for q, d, x in s.top(asked, 4)} for s in (shard, again))
+    assert whole == read and len(whole) == 5
+    floors = np.array([max(x.values()) for x in whole.values()])
+    for q, docs, x in again.top(asked, 4, floors):
+        assert x.max() == floors[q] and len(docs) < len(whole[q])
+    assert not list(again.top(asked, 4, floors + 1))
