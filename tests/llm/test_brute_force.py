@@ -437,3 +437,12 @@ def test_shards_are_read_back_and_keep_to_floors():
     for q, docs, x in again.top(asked, 4, floors):
         assert x.max() == floors[q] and len(docs) < len(whole[q])
     assert not list(again.top(asked, 4, floors + 1))
+
+
+def test_shards_are_small_and_go_to_workers_one_by_one(spark):
+    """Two workers of an executor hold a shard and its row each, whatever the size of batches."""
+    assert bm25.SHARD_DOCS <= 4096 and bm25.SHARD_WORDS <= 3_000_000
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with bm25._one_at_a_time(spark):
+        sizes = spark.range(0, 5, 1, 1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
+    assert [r.n for r in sizes] == [1] * 5 and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
