@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from starloom.llm._components import components
 from starloom.llm._words import Hasher, Words, mix, split_words
-from starloom.llm._workers import column_bytes, lean, steps
+from starloom.llm._workers import STEP_BYTES, column_bytes, lean, steps
 from starloom.session import checkpointed
 
 BANDS, ROWS = 51, 5
@@ -171,11 +171,13 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for batch in batches:
-            signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, _COORDINATES)
-            keys = band_keys(signatures)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "id"])
+            for low in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(low, BLOCK)
+                signatures = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(part.num_rows, _COORDINATES)
+                keys = band_keys(signatures)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(lean(run), "key long, id long")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame, run: Callable, schema: str) -> DataFrame:
@@ -185,6 +187,11 @@ def _with_texts(pairs: DataFrame, texts: DataFrame, run: Callable, schema: str)
     return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(lean(run), schema)
 
 
+def _pair_steps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same pairs in slices of which first and second texts have about ``STEP_BYTES`` together."""
+    return steps(steps(batches, 2, STEP_BYTES // 2), 3, STEP_BYTES // 2)
+
+
 def _paired(batch: pa.RecordBatch) -> pa.Array:
     """First and second texts of a batch of pairs, in one column."""
     return pa.concat_arrays([batch.column(2), batch.column(3)])
@@ -194,7 +201,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     """The pairs ``a, b`` whose sets are similar enough, by their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 2):
+        for batch in _pair_steps(batches):
             owner, shingles = exact_sets(_paired(batch), width)
             size = np.bincount(owner, minlength=2 * batch.num_rows).reshape(2, -1).sum(0)
             owner = owner % batch.num_rows
@@ -213,7 +220,7 @@ def _distances(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     of these stand in the difference of some other a from the same b, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        for batch in steps(batches, 2):
+        for batch in _pair_steps(batches):
             owner, shingles = shingle_sets(_paired(batch), width)
             owner = owner % batch.num_rows
             order = np.lexsort((shingles, owner))
@@ -250,7 +257,8 @@ def _compared(rows: DataFrame, signed: DataFrame, percent: int, floor: float, re
     """What ``report(ids, x, y, alike, once)`` returns for members ``few`` of a bucket and its other members, of another component each.
 
     x and y are places of pairs in ``ids`` whose signatures agree in ``floor`` at least and whose numbers ``near, far`` leave room
-    (with F = far of one and N = near of the other, F + N <= 0); once: the pair shares no earlier bucket.
+    (with F = far of one and N = near of the other, F + N <= 0); once: the pair shares no earlier bucket. It is called for some
+    of the members ``few`` at a time, with all pairs of each, so that a worker holds ``_PAIRS`` pairs or those of one member.
     """
     sizes = rows.groupBy("key").agg(F.count_if("few").alias("n_few"), F.count(F.lit(1)).alias("n_all")).filter("n_few > 0 and n_all > 1")
     sizes = sizes.select("key", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_few", "n_all")])
@@ -266,23 +274,26 @@ def _compared(rows: DataFrame, signed: DataFrame, percent: int, floor: float, re
         asks, few = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4))
         ids, parts, near, far = (batch.column(k).to_numpy() for k in (5, 6, 7, 8))
         signatures = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint16).reshape(-1, _COORDINATES)
-        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        open_ = (parts[x][:, None] != parts[y]) & (~few[y] | (ids[x][:, None] < ids[y]))
-        open_ &= (far[x][:, None] + near[y] <= 0) & (near[x][:, None] + far[y] <= 0)
-        i, j = np.nonzero(open_)
-        x, y = x[i], y[j]
+        asking, asked = np.flatnonzero(asks), np.flatnonzero(~asks)
         key = batch.column(0)[0].as_py()
-        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))]
-        for at in range(0, len(x), _PAIRS):
-            one, two = x[at : at + _PAIRS], y[at : at + _PAIRS]
-            equal = signatures[one] == signatures[two]
+        told: list[list[np.ndarray]] = []
+        rows_at_once = max(1, _PAIRS // max(len(asked), 1))
+        for at in range(0, max(len(asking), 1), rows_at_once):
+            x = asking[at : at + rows_at_once]
+            open_ = (parts[x][:, None] != parts[asked]) & (~few[asked] | (ids[x][:, None] < ids[asked]))
+            open_ &= (far[x][:, None] + near[asked] <= 0) & (near[x][:, None] + far[asked] <= 0)
+            i, j = np.nonzero(open_)
+            x, y = x[i], asked[j]
+            equal = signatures[x] == signatures[y]
             alike = equal.mean(1)
             close = alike >= floor
-            one, two, shared = one[close], two[close], equal[close].reshape(-1, BANDS, ROWS).all(2)
-            once = (band_keys(signatures[one]).view(np.int64) == key).argmax(1) == shared.argmax(1)
-            found.append((one, two, alike[close], once))
-        x, y, alike, once = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in report(ids, x, y, alike, once)], names=names)
+            x, y, shared = x[close], y[close], equal[close].reshape(-1, BANDS, ROWS).all(2)
+            once = (band_keys(signatures[x]).view(np.int64) == key).argmax(1) == shared.argmax(1)
+            told.append(report(ids, x, y, alike[close], once))
+        columns = [np.concatenate(c) for c in zip(*told, strict=True)]
+        if len(columns) == 1:  # members, which several calls may have told
+            columns = [np.unique(columns[0])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []

@@ -163,6 +163,22 @@ def test_near_duplicate_chains(spark):
     assert len({c for _, c in want.values()}) > 3
 
 
+def test_large_groups_are_compared_a_few_members_at_a_time(spark):
+    """Two components of one bucket, all with the same signature: a worker holds few of their pairs at once, and tells all of them."""
+    half = 600
+    signature = np.arange(minhash._COORDINATES, dtype=np.uint16)
+    key = int(minhash.band_keys(signature[None])[0, 0].view(np.int64))
+    signed = spark.createDataFrame([(k, bytearray(signature.tobytes())) for k in range(2 * half)], "id long, sig binary")
+    rows = spark.createDataFrame([(key, k, k // half, k < half, 0, 0) for k in range(2 * half)], "key long, id long, component long, few boolean, near long, far long")
+
+    def report(ids, x, y, alike, once):
+        return [np.array([len(x)]), np.array([int(once.sum())])]
+
+    held = minhash._compared(rows, signed, 80, 0.9, report, "n long, once long").collect()
+    assert sum(r["n"] for r in held) == sum(r["once"] for r in held) == half * half
+    assert max(r["n"] for r in held) <= minhash._PAIRS
+
+
 def test_packing_and_token_codes(spark, texts):
     library = Tokenizer.from_file(BPE)
     ids = {k: e.ids for k, e in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
