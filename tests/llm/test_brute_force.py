@@ -455,6 +455,34 @@ def test_shards_are_read_back_and_keep_to_floors():
     assert not list(again.top(asked, 4, floors + 1))
 
 
+def test_alike_documents_share_ranges():
+    """Two subjects, which the direction in which documents differ most doesn't set apart: documents of a range are of one subject."""
+    rng = np.random.default_rng(4)
+    subject = rng.permutation(np.repeat(np.arange(2), 16 * bm25.BLOCK))
+    rows = np.stack([rng.random(len(subject)), 0.4 * subject], axis=1).astype(np.float32)
+    order = bm25._alike(rows)
+    assert sorted(order.tolist()) == list(range(len(rows)))
+    subjects = [len(set(part)) for part in subject[order].reshape(-1, bm25.BLOCK).tolist()]
+    assert sum(subjects) < 1.5 * len(subjects)
+
+
+def test_lists_read_whole_give_the_same_hits(monkeypatch):
+    """However many blocks are read, hits are the same, and no query's list counts as read more than once."""
+    rng = np.random.default_rng(3)
+    owner, terms = (a.ravel() for a in np.meshgrid(np.arange(700), np.arange(1, 41, dtype=np.uint64), indexing="ij"))
+    counts = rng.integers(0, 3, len(owner)).astype(np.uint32)
+    there = counts > 0
+    asked = [(np.arange(3), np.ones(3), np.arange(6 + q, 30, dtype=np.uint64), np.arange(6 + q, 30) / 10) for q in range(70)]
+    asked = [(c, w, t % 30 + 6, (t % 30 + 6) / 10) for c, w, t, _ in asked]
+    found = []
+    for share in (0.0, 0.5, 1.0):
+        monkeypatch.setattr(bm25, "MOST_READ", share)
+        shard = bm25.Shard(np.arange(700), np.ones(700, bool), np.full(700, 60), owner[there], terms[there], counts[there], np.arange(1, 6, dtype=np.uint64), 60.0)
+        found.append({q: sorted(zip(shard.ids[d].tolist(), np.round(x, 9).tolist(), strict=True)) for q, d, x in shard.top(asked, 4)})
+        assert 0 < shard.read <= shard.seen
+    assert found[0] == found[1] == found[2] and all(len(found[0][q]) >= 4 for q in range(24))
+
+
 def test_shards_are_small_and_go_to_workers_one_by_one(spark):
     """Two workers of an executor hold a shard and its row each, whatever the size of batches."""
     assert bm25.SHARD_DOCS <= 4096 and bm25.SHARD_WORDS <= 3_000_000
